@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import bpe, packing, quality, secrets, toxicity
+from kvloom.llm import bpe, packing, quality, quality_rules, secrets, toxicity
 from kvloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules)}
 
 ORACLES: dict[str, str] = {}
