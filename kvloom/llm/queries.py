@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import bpe, packing, quality, quality_rules, secrets, toxicity
+from kvloom.llm import bpe, packing, pii, quality, quality_rules, secrets, toxicity, url_filter
 from kvloom.llm.common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the pseudonyms; a deployment passes its own.
+PSEUDONYM_KEY = b"pseudonym key of the registered query"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules)}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules, op9_url_filter)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filter": url_filter.oracle()}
