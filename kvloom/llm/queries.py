@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import bpe, packing, pii, quality, quality_rules, secrets, toxicity, url_filter
+from kvloom.llm import bpe, packing, pii, quality, quality_rules, secrets, toxicity, url_filter, vectors
 from kvloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules, op9_url_filter)}
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules, op9_url_filter, op10_near_vectors)}
 
 ORACLES: dict[str, str] = {"op9_url_filter": url_filter.oracle()}
