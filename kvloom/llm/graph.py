@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a and b): the smallest node it is linked with.
 
     Large-star and small-star turns alternate until the edges are stars around the smallest nodes.
-    Each turn takes minima with partial sums before the shuffle and joins them back by sort-merge,
-    which adaptive execution splits at hot nodes; no node's neighbours are gathered in one place. Each
+    Each turn takes minima with partial sums before the shuffle and joins them back from a table of
+    its own, so that adaptive execution can split the join at hot nodes; no node's neighbours are gathered in one place. Each
     turn's edges are written to the shared folder, so a lost executor costs one turn at most.
     Self-links and nulls are dropped; repeated edges count once; without edges the result is empty.
     """
@@ -22,14 +22,15 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
+        low = cut(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = large.join(low, "hi")
         pairs = small.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo")))
         fresh = cut(pairs.distinct(), "edges")
         state = fresh.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
-        drop_path(e.sparkSession, e)
+        for used in (e, least, large, low):
+            drop_path(e.sparkSession, used)
         e = fresh
         if state == last:
             break

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import bpe, packing, pii, quality, quality_rules, secrets, toxicity, url_filter, vectors
+from kvloom.llm import bpe, packing, pii, quality, quality_rules, secrets, shingles, toxicity, url_filter, vectors
 from kvloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,6 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules, op9_url_filter, op10_near_vectors)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_secret_scan, op4_toxicity, op5_packing, op6_quality, op7_bpe, op8_quality_rules, op9_url_filter, op10_near_vectors)}
 
 ORACLES: dict[str, str] = {"op9_url_filter": url_filter.oracle()}
