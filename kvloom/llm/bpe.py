@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text's bytes are cut where a rolling hash of the last eight bytes hits a mask, so that equal
-passages of different documents give equal chunks wherever they stand. A chunk is encoded once a
-task and kept in a bounded store. A chunk's first and last word may be cut through, so its kept
+passages of different documents give equal chunks wherever they stand. A chunk is encoded once by a
+worker and kept in a bounded store. A chunk's first and last word may be cut through, so its kept
 encoding covers the words that lie between white space inside it; at every join of chunks, the
 two ragged ends are put together and encoded again, over as many chunks as it takes until a
 white space on either side makes the ids agree with those of the whole text. White space is
@@ -26,10 +26,10 @@ from kvloom.llm.common import append
 
 #: Bytes of the rolling hash's window, and its mask: chunks of 512 bytes on the mean.
 ROLL, MASK = 8, 511
-#: Most chunks and most words kept by a task; a full store is emptied and filled anew.
-CHUNKS_KEPT, WORDS_KEPT = 20_000, 300_000
-#: Longer words are encoded each time and not kept.
-WORD_KEPT = 64
+#: Most chunks and most words kept by a worker; a full store is cut back to what is in use.
+CHUNKS_KEPT, WORDS_KEPT = 20_000, 500_000
+#: Words put together in one call of the tokenizers library.
+LINE = 200
 SPACE = b" \t\n\x0b\x0c\r"
 FACTORS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(ROLL)], np.uint32)
 
@@ -49,7 +49,7 @@ def chunk_ends(data: bytes) -> list[int]:
 
 
 class ChunkedBpe:
-    """Encoder and decoder of one tokenizer file; keeps what chunks and words gave."""
+    """Encoder and decoder of one tokenizer file; keeps what chunks and words gave, as bytes of 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -60,79 +60,97 @@ class ChunkedBpe:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = self.tokenizer.decoder is None  # then decoding joins the tokens with spaces
-        self.word_ids: dict[bytes, list[int]] = {}
-        self.chunks: dict[bytes, tuple[bytes, list[int] | None, bytes]] = {}
+        self.vocabulary = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.words: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, tuple[bytes, bytes | None, bytes]] = {}
         self.encoded_chunks = self.seen_chunks = 0
-        self.tokens: dict[int, str] = {}
-
-    def of_words(self, words: list[bytes]) -> list[int]:
-        """Ids of white-space-free words in order."""
-        known = self.word_ids
-        missing = [w for w in set(words) if w not in known]
-        extra = {}
-        if missing:
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)
-            if len(known) > WORDS_KEPT:
-                # words needed now are looked up first
-                extra = {w: known[w] for w in words if w in known}
-                known.clear()
-            for w, e in zip(missing, encoded, strict=True):
-                if len(w) > WORD_KEPT:
-                    extra[w] = e.ids
-                else:
-                    known[w] = e.ids
-        out: list[int] = []
-        if extra:
-            for w in words:
-                out += extra[w] if w in extra else known[w]
-        else:
-            for w in words:
-                out += known[w]
-        return out
 
-    def chunk(self, data: bytes) -> tuple[bytes, list[int] | None, bytes]:
-        """Head before the first white space, ids between the first and the last, tail after the last; without any, (data, None, b"")."""
-        self.seen_chunks += 1
-        if (kept := self.chunks.get(data)) is not None:
-            return kept
-        self.encoded_chunks += 1
-        words = data.split()
+    def learn(self, needed: set[bytes]) -> None:
+        """Encode the words that are not kept yet, many to a line; offsets tell them apart again."""
+        if len(self.words) > WORDS_KEPT:
+            self.words = {w: self.words[w] for w in needed if w in self.words}
+        missing = [w for w in needed if w not in self.words]
+        for at in range(0, len(missing), LINE):
+            line = missing[at : at + LINE]
+            texts = [w.decode("utf-8") for w in line]
+            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(encoded.ids, "<i4")
+            starts = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(ids))
+            ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])) * 4
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(line, ends.tolist(), strict=True):
+                self.words[w] = data[begin:end]
+                begin = end
+
+    @staticmethod
+    def ragged(data: bytes, words: list[bytes]) -> tuple[bytes, list[bytes] | None, bytes]:
+        """Head before the first white space, words between the first and the last, tail after the last; without any, (data, None, b"")."""
         head = b"" if data[:1] in SPACE_SET else words[0]
-        if len(words) == 1 and head == data:
-            made = (data, None, b"")
-        else:
-            tail = b"" if data[-1:] in SPACE_SET else words[-1]
-            inner = words[bool(head) : len(words) - bool(tail)]
-            made = (head, self.of_words(inner), tail)
-        if len(self.chunks) >= CHUNKS_KEPT:
-            self.chunks.clear()
-        self.chunks[data] = made
-        return made
-
-    def encode(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        data, at, out, ragged = text.encode("utf-8"), 0, [], b""
-        for end in chunk_ends(data):
-            head, inner, tail = self.chunk(data[at:end])
-            at = end
-            ragged += head
-            if inner is None:
+        if head == data:
+            return data, None, b""
+        tail = b"" if data[-1:] in SPACE_SET else words[-1]
+        return head, words[bool(head) : len(words) - bool(tail)], tail
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each."""
+        if len(self.chunks) > CHUNKS_KEPT:
+            self.chunks = {}
+        new: dict[bytes, tuple[bytes, list[bytes] | None, bytes]] = {}
+        parts: list[list[bytes] | str] = []
+        for text in texts:
+            # small letters early make equal words equal; special strings must not arise from that
+            data = text.encode("utf-8")
+            low = data.lower()
+            if any(s in text or s.encode("utf-8") in low for s in self.special):
+                parts.append(text)
+                continue
+            at, own = 0, []
+            for end in chunk_ends(low):
+                chunk = low[at:end]
+                at = end
+                own.append(chunk)
+                if chunk not in self.chunks and chunk not in new:
+                    new[chunk] = self.ragged(chunk, chunk.split())
+            self.seen_chunks += len(own)
+            parts.append(own)
+        self.encoded_chunks += len(new)
+        # the joins: ends of neighbouring chunks put together, over chunks without white space too
+        joins: list[list[bytes]] = []
+        for own in parts:
+            found, rest = [], b""
+            for chunk in own if isinstance(own, list) else ():
+                head, inner, tail = self.chunks.get(chunk) or new[chunk]
+                rest += head
+                if inner is not None:
+                    found.append(rest)
+                    rest = tail
+            joins.append([*found, rest])
+        self.learn({w for _, inner, _ in new.values() if inner for w in inner} | {w for found in joins for w in found if w})
+        known = self.words
+        for chunk, (head, inner, tail) in new.items():
+            self.chunks[chunk] = (head, None if inner is None else b"".join([known[w] for w in inner]), tail)
+        out = []
+        for own, found in zip(parts, joins, strict=True):
+            if isinstance(own, str):
+                out.append(np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, "<i4").tobytes())
                 continue
-            if ragged:
-                out += self.of_words([ragged])
-            out += inner
-            ragged = tail
-        return out + self.of_words([ragged]) if ragged else out
+            pieces, k = [], 0
+            for chunk in own:
+                inner = self.chunks[chunk][1]
+                if inner is not None:
+                    pieces += (known[found[k]] if found[k] else b"", inner)
+                    k += 1
+            out.append(b"".join([*pieces, known[found[k]] if found[k] else b""]))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         if not self.plain:
             return self.tokenizer.decode(ids, skip_special_tokens=False)
-        known = self.tokens
-        for i in set(ids) - known.keys():
-            known[i] = self.tokenizer.id_to_token(i)
-        return " ".join([known[i] for i in ids])
+        return " ".join(map(self.vocabulary.__getitem__, ids))
+
 
+#: Encoders of this worker by file, so that later tasks find what earlier ones encoded.
+KEPT: dict[str, ChunkedBpe] = {}
 
 SPACE_SET = {SPACE[i : i + 1] for i in range(len(SPACE))}
 
@@ -142,15 +160,14 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str =
     fields = [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else [])
 
     def make():
-        bpe = ChunkedBpe(tokenizer_path)
+        bpe = KEPT.get(tokenizer_path) or KEPT.setdefault(tokenizer_path, ChunkedBpe(tokenizer_path))
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            flat = [bpe.encode(t) if t else [] for t in batch.column(text).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
-            values = np.concatenate([np.array(x, np.int32) for x in flat]) if flat else np.zeros(0, np.int32)
-            out = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
+            flat = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
+            out = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4")))}
             if decoded:
-                out[decoded] = pa.array([bpe.decode(x) for x in flat], pa.string())
+                out[decoded] = pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in flat], pa.string())
             return out
 
         return step
