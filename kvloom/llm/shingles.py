@@ -47,12 +47,13 @@ from kvloom.llm.trie import similar
 
 WORDS, PERCENT = 5, 75
 #: Shingles and documents of a batch at most (a longer text is a batch of its own).
-BATCH_SHINGLES, BATCH_DOCS = 1 << 20, 60_000
+BATCH_SHINGLES, BATCH_DOCS = 1 << 19, 60_000
 #: Documents of a batch with one shingle from which the shingle goes as a counted entry.
 HOT = 64
 #: Sets of a block of a large family, sets that stand for its largest group, and sets of small families to a task.
 BLOCK, PIVOTS, TASK_SETS = 2000, 200, 4000
-KEPT_WORDS = 400_000
+#: Word hashes kept by a task, and rows turned to Python objects at once.
+KEPT_WORDS, ROWS = 200_000, 500
 #: Document number of a counted entry.
 COUNTED = 0xFFFF
 
@@ -216,7 +217,7 @@ def gather(percent: int):
 def shared_tokens(df: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
     """``SETS`` rows of all documents; tokens are the shared ones, null where no link is possible."""
     spark = df.sparkSession
-    ranges = 2 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = df.mapInArrow(spread(sets_of, ranges), StructType([StructField("range", IntegerType()), StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("data", BinaryType())]))
     answered = asked.groupBy("range").applyInArrow(answer, StructType([StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("data", BinaryType())]))
     return cut(answered.groupBy("batch").applyInArrow(gather(percent), SETS), name)
@@ -228,9 +229,11 @@ def text_sets(n_words: int):
 
         shingler = Shingler(n_words)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingler.of(text)
-                yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), s
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = shingler.of(text)
+                    yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), s
 
     return sets_of
 
@@ -314,8 +317,8 @@ def in_families(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links that join all similar sets of each family; ``sets`` has family, doc_id, n and tokens."""
     step = math.log(100 / percent)
     sets = sets.withColumn("band", F.floor(F.log("n") / step + 1e-9))
-    sizes = cut(sets.groupBy("family", "band").agg(F.count("*").alias("k")), "family-bands")
-    totals = cut(sizes.groupBy("family").agg(F.sum("k").alias("total")), "family-sizes")
+    sizes = sets.groupBy("family", "band").agg(F.count("*").alias("k"))
+    totals = sizes.groupBy("family").agg(F.sum("k").alias("total"))
     about = cut(sizes.join(totals, "family").select("family", "band", "total", F.ceil(F.col("k") / BLOCK).alias("blocks")), "family-blocks")
     sets = cut(sets.join(about, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")), "family-sets")
     count = sets.where(F.col("total") <= BLOCK).count()
@@ -329,13 +332,13 @@ def in_families(sets: DataFrame, percent: int) -> DataFrame:
 
     def labelled() -> tuple[DataFrame, DataFrame]:
         """Large families' sets with their group so far, whether it is the family's largest, and counts."""
-        groups = cut(components(links), "groups")
+        groups = components(links)
         marked = large.join(groups, large["doc_id"] == groups["node"], "left").drop("node").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         marked = cut(marked, "labelled")
         counts = marked.groupBy("family", "label").agg(F.count("*").alias("k"))
         main = counts.groupBy("family").agg(F.max(F.struct("k", F.negative("label").alias("l"))).alias("m"), F.sum("k").alias("all"))
         main = cut(main.select("family", F.negative("m.l").alias("main"), F.col("m.k").alias("main_k"), (F.col("all") - F.col("m.k")).alias("minor_k")), "main-groups")
-        return cut(marked.join(main, "family"), "labelled-sets"), main
+        return marked.join(main, "family"), main
 
     near = F.abs(F.col("to_band") - F.col("band")) <= 1
     # every block's other sets against some of the largest group: most groups that belong to it join it here
@@ -364,10 +367,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     single = live.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("r")).select("r.doc_id", "r.n", "digest", "r.tokens")
     single = cut(single, "single")
     sets = shared_tokens(single, kept_sets, percent, "shared").where("tokens IS NOT NULL")
-    family = cut(families(sets, percent), "families")
+    family = families(sets, percent)
     grouped = sets.join(family, sets["doc_id"] == family["node"]).select("doc_id", "n", "tokens", F.col("component").alias("family"))
     # a doc_id that several rows carry stands for all of them
-    groups = cut(components(in_families(grouped, percent)), "components")
+    groups = components(in_families(grouped, percent))
     about = single.select("digest", "doc_id").join(groups, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     about = cut(about, "classes")
     out = every.select("doc_id", "n", F.when(F.col("tokens").isNotNull(), F.col("digest")).alias("digest")).join(about, "digest", "left")
