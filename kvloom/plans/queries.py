@@ -254,7 +254,7 @@ def kv_clear_then_put(spark, d):
     return write.put(write.clear(base), rows)
 
 
-@query("SELECT (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= 5000) > (SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 5000) AS can_append")
+@query("SELECT coalesce((SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= 5000) > (SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 5000), true) AS can_append")
 def kv_append_check(spark, d):
     o = orders(spark, d)
     return write.append_check(o.where("key < 5000"), o.where("key >= 5000"))
