@@ -42,23 +42,22 @@ SYMBOLS = "#*$%&|<>"
 
 def words_of(text: Column) -> Column:
     """Words of a text as an array; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def tokens_of(text: Column) -> Column:
-    """Text as a string of tokens with one space between: words in small letters, runs of signs, and a case mark of shouted words."""
-    apart = F.regexp_replace(F.coalesce(text, F.lit("")), "([\\p{L}\\p{N}])([^\\p{L}\\p{N}\\s]{2,})", "$1 $2")
-    return F.regexp_replace(apart, "(^|\\s)\\p{Lu}{2,}(?=\\s|$)", "$1\u0001caps")
+def with_buckets(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the hashed unigrams and bigrams of each text: an array of bucket numbers.
 
-
-def buckets_of(text: Column) -> Column:
-    """Hashed unigrams and bigrams of a text: an array of bucket numbers."""
-    tokens = F.filter(F.split(tokens_of(text), "\\s+"), lambda w: w != "")
-    n = F.size(tokens)
-    one = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    Tokens are words, with runs of two signs and more apart from the letters before them. Tokens,
+    unigrams and bigrams are columns of their own, so that each is worked out once a row.
+    """
+    apart = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "([\\p{L}\\p{N}])([^\\p{L}\\p{N}\\s]{2,})", "$1 $2")
+    d = df.withColumn("_tokens", F.array_remove(F.split(apart, SPACES), ""))
+    d = d.withColumn("_one", F.transform("_tokens", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))).drop("_tokens")
     # hashes of neighbours are combined from the unigram hashes
-    two = F.when(n > 1, F.zip_with(F.slice(one, 1, n - 1), F.slice(one, 2, n - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.concat(one, two)
+    n = F.size("_one")
+    two = F.zip_with(F.slice("_one", 1, n - 1), F.slice("_one", 2, n - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
+    return d.withColumn(name, F.when(n > 1, F.concat("_one", two)).otherwise(F.col("_one"))).drop("_one")
 
 
 def base(docs: DataFrame, text: str) -> DataFrame:
@@ -82,9 +81,7 @@ def base(docs: DataFrame, text: str) -> DataFrame:
     none = F.array().cast("array<bigint>")
     spread = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
     d = d.withColumn("_windows", F.when(F.size(h) > WINDOW, spread).otherwise(none))
-    d = d.withColumn("_sorted", F.sort_array("_windows"))
-    s = F.col("_sorted")
-    twice = F.when(F.size(s) > 1, F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda j: F.get(s, j) == F.get(s, j - 1))).otherwise(F.lit(False))
+    twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
     # positions by hash, only where some window is found twice
     paired = F.sort_array(F.transform(F.col("_windows"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     d = d.withColumn("_paired", F.when(twice, paired))
@@ -98,7 +95,7 @@ def base(docs: DataFrame, text: str) -> DataFrame:
     gained = F.transform(F.sequence(F.lit(1), F.size(q) - 1), lambda j: F.least(F.get(q, j) - F.get(q, j - 1), F.lit(WINDOW)))
     total = F.when(F.size(q) == 0, 0).when(F.size(q) == 1, WINDOW).otherwise(WINDOW + F.aggregate(gained, F.lit(0), lambda a, x: a + x))
     d = d.withColumn("n_repeat_words", total.cast("long"))
-    return d.drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_paired", "_places")
+    return d.drop("_words", "_lines", "_hashes", "_windows", "_paired", "_places")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> list[float]:
@@ -108,9 +105,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     Counts are added up before and after the shuffle; at most ``BUCKETS`` rows come back.
     """
     marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(trusted.select(F.col(key).alias("_key"), F.lit(1).alias("_target"))), "_key", "left")
-    each = marked.select(F.explode(buckets_of(F.col("_text"))).alias("bucket"), F.coalesce("_target", F.lit(0)).alias("target"))
+    # the outer form keeps the optimizer from adding a filter that works the buckets out once more
+    each = with_buckets(marked, "_text", "_buckets").select(F.explode_outer("_buckets").alias("bucket"), F.coalesce("_target", F.lit(0)).alias("target"))
     counts = each.groupBy("bucket").agg(F.sum("target").alias("target"), F.count("*").alias("raw"))
-    rows = counts.collect()
+    rows = counts.where("bucket IS NOT NULL").collect()
     n_target, n_raw = sum(r["target"] for r in rows), sum(r["raw"] for r in rows)
     out = [0.0] * BUCKETS
     if n_target:
@@ -132,7 +130,7 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"}
     d = base(docs.drop(*[c for c in docs.columns if c.lower() in made and c != text]), text)
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    d = d.withColumn("_buckets", buckets_of(F.col(text)))
+    d = with_buckets(d, text, "_buckets")
     b = F.col("_buckets")
     total = F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, x))
     d = d.withColumn("llr", F.when(F.size(b) > 0, total / F.size(b)).otherwise(0.0)).drop("_buckets")
@@ -140,6 +138,16 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
 
 
+def keep(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The filter also reads a row number, which is not deterministic: else the optimizer would move it
+    below the columns that it is made of and write each of their expressions out wherever it is used.
+    """
+    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text")), ratios, "_text")
+    return judged.withColumn("_number", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_number") >= 0)).select("_row.*")
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: base figures and verdict."""
     d = docs.select("doc_id", "text")
