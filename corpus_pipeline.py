@@ -24,8 +24,7 @@ BROADCAST_IDS = 1_000_000
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the raw corpus is this stage's input."""
     ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
-    plain = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return quality_rules.judge(plain, ratios).where("kept").select("_row.*")
+    return quality_rules.keep(docs, ratios)
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
