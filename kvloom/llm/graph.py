@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kvloom.llm.common import cut, drop_path
 
+#: Edges that one task joins in memory (16 bytes each, some ten times that at work).
+EDGES = 250_000
+NODES = StructType([StructField("node", LongType()), StructField("component", LongType())])
+
+
+def in_memory(batches):
+    """(node, component) of at most ``EDGES`` edges (hi, lo)."""
+    edges = [np.stack([b.column("hi").to_numpy(), b.column("lo").to_numpy()]) for b in batches if b.num_rows]
+    if not edges:
+        return
+    nodes, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+    sets = Sets(len(nodes))
+    for x, y in at.reshape(2, -1).T.tolist():
+        sets.union(x, y)
+    roots = np.fromiter((sets.find(i) for i in range(len(nodes))), np.int64, len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "component"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a and b): the smallest node it is linked with.
 
-    Large-star and small-star turns alternate until the edges are stars around the smallest nodes.
+    Edges are written out and counted. Up to ``EDGES`` of them, a bound that does not grow with the
+    data, are joined by one task; beyond, large-star and small-star turns alternate until the edges are stars around the smallest nodes.
     Each turn takes minima with partial sums before the shuffle and joins them back from a table of
     its own, so that adaptive execution can split the join at hot nodes; no node's neighbours are gathered in one place. Each
     turn's edges are written to the shared folder, so a lost executor costs one turn at most.
@@ -19,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e = cut(e, "edges")
+    if e.count() <= EDGES:
+        return e.coalesce(1).mapInArrow(in_memory, NODES)
     last = None
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
