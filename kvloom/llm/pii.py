@@ -34,13 +34,24 @@ ROUNDS = 10
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2099, 12, 31) - datetime.date(1900, 1, 1)).days + 1
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-CARD = re.compile(r"(?<![\d+])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{4,5})(?!\d)")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")
-SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
-DATE = re.compile(r"(?<![\d/.-])(?:(?P<y>\d{4})(?P<a>[-/.])(?P<m>\d{2})(?P=a)(?P<d>\d{2})|(?P<p>\d{1,2})(?P<b>[-/.])(?P<q>\d{1,2})(?P=b)(?P<z>\d{4}))(?![\d/-])")
-DIGIT = re.compile(r"\d")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)(?![A-Za-z0-9])", re.ASCII)
+CARD = re.compile(r"(?<![\d+])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{4,5})(?!\d)", re.ASCII)
+PHONE = re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?!\d)|(?<![\w+(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", re.ASCII)
+SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.ASCII)
+IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", re.ASCII)
+DATE = re.compile(r"(?<![\d/.-])(?:(?P<y>\d{4})(?P<a>[-/.])(?P<m>\d{2})(?P=a)(?P<d>\d{2})|(?P<p>\d{1,2})(?P<b>[-/.])(?P<q>\d{1,2})(?P=b)(?P<z>\d{4}))(?![\d/-])", re.ASCII)
+DIGIT = re.compile(r"\d", re.ASCII)
+
+# Names of months in the corpus' languages, January first.
+MONTHS = (
+    "January February March April May June July August September October November December".split(),
+    "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+)
+_NAMES = "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m)))
+NAMED_DATE = re.compile(rf"(?<![\w.])(?:(?P<d>\d{{1,2}})(?P<s>\.?\x20(?:de\x20)?)(?P<m>{_NAMES})(?P<t>,?\x20(?:de\x20)?)(?P<y>\d{{4}})|(?P<n>{_NAMES})(?P<u>\.?\x20)(?P<e>\d{{1,2}})(?P<v>,?\x20)(?P<z>\d{{4}}))(?!\w)")
 
 
 class Permutation:
@@ -64,12 +75,23 @@ class Permutation:
                 left, right = right, (left + self.mix(tweak, size, turn, right)) % side
         return left * side + right
 
-    def permute(self, x: int, size: int, tweak: str, inside: Callable[[int], bool] = lambda _: True, inverse: bool = False) -> int:
-        """Where ``x`` goes among the numbers below ``size`` that are ``inside`` the format."""
+    def walk(self, x: int, size: int, tweak: str, inverse: bool) -> int:
+        """The network on the square, walked on until it is below ``size`` again."""
         side = math.isqrt(size - 1) + 1
-        while True:
+        x = self.once(x, size, side, tweak, inverse)
+        while x >= size:
             x = self.once(x, size, side, tweak, inverse)
-            if x < size and inside(x):
+        return x
+
+    def permute(self, x: int, size: int, tweak: str, inside: Callable[[int], bool] = lambda _: True, inverse: bool = False) -> int:
+        """Where ``x`` goes among the numbers below ``size`` that are ``inside`` the format.
+
+        The network orders all numbers in one hidden circle, and each goes to the next one inside: so
+        no value stays itself unless it is the only one.
+        """
+        while True:
+            x = self.walk((self.walk(x, size, tweak, False) + (-1 if inverse else 1)) % size, size, tweak, True)
+            if inside(x):
                 return x
 
 
@@ -182,7 +204,22 @@ def date(p: Permutation, value: str) -> str | None:
     return None
 
 
-FINDERS = (("email", EMAIL, email), ("iban", IBAN, iban), ("card", CARD, card), ("phone", PHONE, phone), ("ssn", SSN, ssn), ("ip", IP, ip), ("date", DATE, date))
+def named_date(p: Permutation, value: str) -> str | None:
+    m = NAMED_DATE.fullmatch(value)
+    name, day, year = m["m"] or m["n"], int(m["d"] or m["e"]), int(m["y"] or m["z"])
+    names = next(n for n in MONTHS if name in n)
+    try:
+        x = (datetime.date(year, names.index(name) + 1, day) - FIRST_DAY).days
+    except ValueError:
+        return None
+    if not 0 <= x < DAYS:
+        return None
+    to = FIRST_DAY + datetime.timedelta(days=p.permute(x, DAYS, "date"))
+    fresh = names[to.month - 1]
+    return f"{to.day}{m['s']}{fresh}{m['t']}{to.year}" if m["d"] else f"{fresh}{m['u']}{to.day}{m['v']}{to.year}"
+
+
+FINDERS = (("email", EMAIL, email), ("iban", IBAN, iban), ("card", CARD, card), ("phone", PHONE, phone), ("ssn", SSN, ssn), ("ip", IP, ip), ("date", DATE, date), ("date", NAMED_DATE, named_date))
 
 
 def pseudonyms(p: Permutation, text: str | None) -> list[tuple[str, int, int, str]]:
@@ -195,7 +232,7 @@ def pseudonyms(p: Permutation, text: str | None) -> list[tuple[str, int, int, st
         if not (at_sign if kind == "email" else digit):
             continue
         for m in pattern.finditer(text):
-            if (not m[0].isascii()) or any(a < m.end() and m.start() < b for _, a, b, _ in taken):
+            if any(a < m.end() and m.start() < b for _, a, b, _ in taken):
                 continue
             if (fresh := make(p, m[0])) is not None:
                 taken.append((kind, m.start(), m.end(), fresh))

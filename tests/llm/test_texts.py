@@ -33,12 +33,13 @@ def test_permutation_is_one_to_one_and_can_be_undone():
     for size in (1, 2, 10, 97, 1000):
         assert sorted(p.permute(x, size, "t") for x in range(size)) == list(range(size))
         assert all(p.permute(p.permute(x, size, "t"), size, "t", inverse=True) == x for x in range(size))
+        assert size == 1 or all(p.permute(x, size, "t") != x for x in range(size))
     assert [p.permute(x, 1000, "t") for x in range(50)] != [pii.Permutation(b"other").permute(x, 1000, "t") for x in range(50)]
 
 
 @pytest.mark.parametrize(
     "kind,value",
-    [("email", "Jane.Doe9@mail.example.com"), ("card", "4111 1111 1111 1111"), ("card", "4785380592391139"), ("phone", "+1 (743) 555-3824"), ("ssn", "123-45-6789"), ("ip", "70.23.22.57"), ("date", "2021-03-09"), ("date", "31/12/1999"), ("iban", "GB82 WEST 1234 5698 7654 32")],
+    [("email", "Jane.Doe9@mail.example.com"), ("card", "4111 1111 1111 1111"), ("card", "4785380592391139"), ("phone", "+1 (743) 555-3824"), ("ssn", "123-45-6789"), ("ip", "70.23.22.57"), ("date", "2021-03-09"), ("date", "31/12/1999"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("phone", "+33 1 23 45 67 89")],
 )
 def test_format_and_linkage(kind, value):
     p = pii.Permutation(b"key")
@@ -60,6 +61,12 @@ def test_same_date_in_two_notations_stays_the_same_day():
     a, b = pii.date(p, "2021-12-25"), pii.date(p, "12/25/2021")
     y, m, d = a.split("-")
     assert b == f"{m}/{d}/{y}"
+    months = pii.MONTHS
+    for value, names in (("25 December 2021", months[0]), ("25 de diciembre de 2021", months[4]), ("25. Dezember 2021", months[2]), ("Dec 25, 2021", months[1])):
+        (found,) = pii.pseudonyms(p, f"on {value} there")
+        assert found[0] == "date" and all(x in found[3] for x in (y, str(int(d)), names[int(m) - 1]))
+    assert pii.pseudonyms(p, "31 February 2020") == []
+    assert [f[0] for f in pii.pseudonyms(p, "call +1 (487) 555-7209 4736962573099581 now")] == ["phone", "card"]
 
 
 def test_invalid_values_stay():
