@@ -159,10 +159,11 @@ def seek_many(t: DataFrame, probes: DataFrame) -> DataFrame:
     rank = F.struct(F.col("k").alias("o0"))
     cuts = bounds(t.select(F.struct(F.col("key").alias("o0")).alias("rank")), int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = both.withColumn("_part", part_of(rank, cuts))
-    w = W.partitionBy("_part").orderBy("k", "kind").rowsBetween(W.currentRow, W.unboundedFollowing)
-    inside = both.select("*", F.first("row", ignorenulls=True).over(w).alias("_met"))
+    # from the end backwards, so that the window grows instead of being summed up anew for each row
+    w = W.partitionBy("_part").orderBy(F.desc("k"), F.desc("kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = both.select("*", F.last("row", ignorenulls=True).over(w).alias("_met"))
     firsts = both.groupBy("_part").agg(F.min("row").alias("_row"))
-    later = firsts.select("_part", F.first("_row", ignorenulls=True).over(W.orderBy("_part").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    later = firsts.select("_part", F.last("_row", ignorenulls=True).over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
     out = inside.where("kind = 0").join(F.broadcast(later), "_part", "left")
     met = F.coalesce("_met", "_later")
     return out.select("probe_id", F.col("k").alias("probe"), met["key"].alias("key"), met["value"].alias("value"))
