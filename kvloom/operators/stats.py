@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kvloom.functions import capacity as C
@@ -103,3 +103,10 @@ def readers(slots: DataFrame, now: float, stale_seconds: float = 300.0) -> DataF
         F.coalesce(F.sum(F.when(age > stale_seconds, 1).otherwise(0)), F.lit(0)).cast("long").alias("stale"),
         F.max(age).alias("oldest_age"),
     )
+
+
+def observed(t: DataFrame, name: str = "reads") -> tuple[DataFrame, Observation]:
+    """``t`` and counters (rows, bytes) that are filled by whatever action reads it next."""
+    seen = Observation(name)
+    counted = t.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))), F.lit(0)).alias("bytes"))
+    return counted, seen

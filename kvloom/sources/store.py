@@ -39,13 +39,14 @@ MAX_KEY, MAX_VALUE = 511, 1 << 30
 class Store:
     """An open store. ``quota`` in bytes is checked on commit if given."""
 
-    def __init__(self, spark: SparkSession, root: str, map_size: int = MAP_SIZE, max_readers: int = MAX_READERS, max_databases: int = MAX_DATABASES, durability: str = "async_flush", quota: int | None = None, max_key: int = MAX_KEY, max_value: int = MAX_VALUE):
+    def __init__(self, spark: SparkSession, root: str, map_size: int = MAP_SIZE, max_readers: int = MAX_READERS, max_databases: int = MAX_DATABASES, durability: str = "async_flush", quota: int | None = None, max_key: int = MAX_KEY, max_value: int = MAX_VALUE, bloom: bool = False):
         if durability not in DURABILITY:
             raise InvalidOperation(f"unknown durability {durability}")
         self.spark, self.files = spark, Files(spark, root)
         self.root = self.files.root
         self.map_size, self.max_readers, self.max_databases = map_size, max_readers, min(max_databases, MAX_DATABASES)
         self.durability, self.quota, self.max_key, self.max_value = durability, quota, max_key, max_value
+        self.bloom = bloom  # Parquet Bloom filters on keys, for gets of keys that are not there
         self.readers: dict[int, tuple[int, int, float]] = {}  # slot -> version, pid, since
         self.guard = threading.Lock()
         self.writer = threading.Lock()
@@ -120,6 +121,9 @@ class Store:
         rows = [(n, t["dup"], t["entries"]) for n, t in sorted(self.latest()["tables"].items())]
         return self.spark.createDataFrame(rows, "name string, dup boolean, entries long")
 
+    def write_options(self) -> dict[str, str]:
+        return {"parquet.bloom.filter.enabled#key": "true"} if self.bloom else {}
+
     # reports
 
     def reader_table(self) -> DataFrame:
@@ -392,7 +396,7 @@ class WriteTxn(Txn):
             for name in touched:
                 t = self.state["tables"][name]
                 path = f"tables/{name}/v{self.number:020d}"
-                in_key_order(self.table(name), t["dup"]).write.parquet(f"{self.store.root}/{path}")
+                in_key_order(self.table(name), t["dup"]).write.options(**self.store.write_options()).parquet(f"{self.store.root}/{path}")
                 rows = self.store.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{path}")
                 t["entries"] = rows.select("key").distinct().count() if t["dup"] else rows.count()
                 t["path"] = path

@@ -94,3 +94,10 @@ def test_access_patterns(spark):
     pattern = lambda d: stats.access_pattern(d).first()["pattern"]
     assert pattern(rows(range(50))) == "sequential" and pattern(rows([5, 90, 3, 70, 1])) == "random"
     assert pattern(rows(range(5), True)) == "bulk" and pattern(rows(range(5)).limit(0)) == "mixed"
+
+
+def test_observed_counts(spark):
+    t = spark.createDataFrame([("a", "xyz"), ("bc", None)], "key string, value string")
+    counted, seen = stats.observed(t)
+    counted.collect()
+    assert seen.get == {"rows": 2, "bytes": 6}

@@ -54,7 +54,7 @@ def test_snapshots_abort_and_versions(store):
 
 
 def test_readers_and_vacuum(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/s", max_readers=2)
+    store = Store(spark, f"file://{tmp_path}/s", max_readers=2, bloom=True)
     for i in range(3):
         with store.write_txn() as txn:
             txn.put(b"k", b"%d" % i)
