@@ -32,7 +32,7 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: What a document's word and shape features weigh in all.
 SCALE = 6.0
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 RUN = re.compile(r"(.)\1+")
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
