@@ -1,8 +1,11 @@
 """A store of named, versioned key-value tables.
 
-A store is a folder. Every version of a table is an immutable folder of Parquet files in key order;
-a version of the whole store is one small manifest that names the tables and their folders. A
-commit writes new table folders and then one new manifest; readers keep the manifest that they
+A store is a folder. A table is an immutable folder of Parquet files in key order, its base, and the
+logs of the commits since, each a folder of its own; reading folds the logs over the base. A version
+of the whole store is one small manifest that names the tables and their folders. A commit writes its
+operations as one more log, or, when the logs have become many or large against the base, a new base
+(see ``LOGS`` and ``LOG_SHARE``); so a small commit costs its own size, not the table's. Then it
+writes one new manifest; readers keep the manifest that they
 began with, so they see one state whatever is committed meanwhile. The newest manifest that is
 whole is the state after a crash. Old versions go when no reader holds them (``vacuum``).
 
@@ -19,12 +22,12 @@ import threading
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions import capacity
 from kvloom.functions.errors import BadTransaction, BadValueSize, Conflict, DatabasesFull, InvalidDatabase, InvalidOperation, KvError, MapFull, ReadersFull
-from kvloom.operators import dup, read, write
+from kvloom.operators import dup, write
 from kvloom.sources.files import Files
 
 MAIN = "main"
@@ -34,25 +37,30 @@ DURABILITY = ("no_sync", "async_flush", "sync_data", "full_sync")
 # Defaults and limits.
 MAP_SIZE, MAX_READERS, MAX_DATABASES = 1 << 30, 126, 128
 MAX_KEY, MAX_VALUE = 511, 1 << 30
+#: A new base is written when a table has more logs than this, or logs of more than this share of its base's bytes.
+LOGS, LOG_SHARE = 8, 0.25
+#: Sequence numbers that one commit may use.
+SEQUENCE_BITS = 40
 
 
 class Store:
     """An open store. ``quota`` in bytes is checked on commit if given."""
 
-    def __init__(self, spark: SparkSession, root: str, map_size: int = MAP_SIZE, max_readers: int = MAX_READERS, max_databases: int = MAX_DATABASES, durability: str = "async_flush", quota: int | None = None, max_key: int = MAX_KEY, max_value: int = MAX_VALUE, bloom: bool = False):
+    def __init__(self, spark: SparkSession, root: str, map_size: int = MAP_SIZE, max_readers: int = MAX_READERS, max_databases: int = MAX_DATABASES, durability: str = "async_flush", quota: int | None = None, max_key: int = MAX_KEY, max_value: int = MAX_VALUE, bloom: bool = False, logs: int = LOGS, log_share: float = LOG_SHARE):
         if durability not in DURABILITY:
             raise InvalidOperation(f"unknown durability {durability}")
         self.spark, self.files = spark, Files(spark, root)
         self.root = self.files.root
         self.map_size, self.max_readers, self.max_databases = map_size, max_readers, min(max_databases, MAX_DATABASES)
         self.durability, self.quota, self.max_key, self.max_value = durability, quota, max_key, max_value
+        self.logs, self.log_share = logs, log_share
         self.bloom = bloom  # Parquet Bloom filters on keys, for gets of keys that are not there
         self.readers: dict[int, tuple[int, int, float]] = {}  # slot -> version, pid, since
         self.guard = threading.Lock()
         self.writer = threading.Lock()
         self.files.make("manifests")
         if not self.versions():
-            self.files.write_once(self._manifest(0), self._text({"version": 0, "tables": {MAIN: {"dup": False, "path": None, "entries": 0, "codec": ["bytes", "bytes"]}}}))
+            self.files.write_once(self._manifest(0), self._text({"version": 0, "tables": {MAIN: {"dup": False, "path": None, "logs": [], "codec": ["bytes", "bytes"]}}}))
 
     # manifests
 
@@ -117,9 +125,19 @@ class Store:
             txn.drop(name)
 
     def databases(self) -> DataFrame:
-        """(name, dup, entries) of every table."""
-        rows = [(n, t["dup"], t["entries"]) for n, t in sorted(self.latest()["tables"].items())]
-        return self.spark.createDataFrame(rows, "name string, dup boolean, entries long")
+        """(name, dup, entries) of every table; entries are keys, counted when the result is read."""
+        txn = Txn(self, self.latest())
+        out = None
+        for n, t in sorted(txn.state["tables"].items()):
+            keys = txn.table(n).select("key")
+            one = (keys.distinct() if t["dup"] else keys).agg(F.count("*").alias("entries")).select(F.lit(n).alias("name"), F.lit(t["dup"]).alias("dup"), "entries")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def rewrites(self, t: dict, more: int) -> bool:
+        """Whether a table with a log of ``more`` bytes added is to get a new base."""
+        size = sum(self.files.bytes(p) for p in t["logs"]) + more
+        return not t["path"] or len(t["logs"]) + 1 > self.logs or size > self.log_share * self.files.bytes(t["path"])
 
     def write_options(self) -> dict[str, str]:
         return {"parquet.bloom.filter.enabled#key": "true"} if self.bloom else {}
@@ -133,7 +151,7 @@ class Store:
 
     def space_info(self) -> DataFrame:
         """One row from the real sizes of the current version's files and of older ones."""
-        now = sum(self.files.bytes(t["path"]) for t in self.latest()["tables"].values() if t["path"])
+        now = sum(self.files.bytes(p) for t in self.latest()["tables"].values() for p in folders(t))
         all_ = self.files.bytes("tables")
         used, total = -(-now // capacity.PAGE), -(-all_ // capacity.PAGE)
         row = self.spark.createDataFrame([(total, used, max(total - used, 0), self.map_size)], "t long, u long, f long, m long")
@@ -150,8 +168,8 @@ class Store:
             newest = self.latest()["version"]
             held = {v for v, *_ in self.readers.values()} | {newest}
             gone = [v for v in self.versions() if v < newest and v not in held]
-            kept = {t["path"] for v in held if (s := self.state(v)) for t in s["tables"].values() if t["path"]}
-            dropped = {t["path"] for v in gone if (s := self.state(v)) for t in s["tables"].values() if t["path"]}
+            kept = {p for v in held if (s := self.state(v)) for t in s["tables"].values() for p in folders(t)}
+            dropped = {p for v in gone if (s := self.state(v)) for t in s["tables"].values() for p in folders(t)}
             for v in gone:
                 self.files.delete(self._manifest(v))
             for path in dropped - kept:
@@ -168,8 +186,8 @@ class Store:
             tables = txn.state["tables"]
             made = {}
             for done, (name, t) in enumerate(tables.items(), 1):
-                made[name] = dict(t)
-                if t["path"]:
+                made[name] = dict(t) | {"logs": []}
+                if folders(t):
                     made[name]["path"] = f"tables/{name}/v{1:020d}"
                     rows = txn.table(name)
                     rows = in_key_order(rows, t["dup"]) if compact else rows
@@ -188,6 +206,11 @@ def in_key_order(rows: DataFrame, dup_sort: bool) -> DataFrame:
     return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
+def folders(t: dict) -> list[str]:
+    """All folders of a table."""
+    return [p for p in (t["path"], *t["logs"]) if p]
+
+
 class Txn:
     """What reads share. ``table(name)`` is the rows of a table as this transaction sees them."""
 
@@ -205,21 +228,38 @@ class Txn:
             raise InvalidDatabase(name)
         return self.state["tables"][name]
 
-    def table(self, name: str = MAIN) -> DataFrame:
+    def table(self, name: str = MAIN, where: Column | None = None) -> DataFrame:
+        """Rows of a table; a predicate on ``key`` goes to the scans of base and logs."""
         t = self.check(name)
-        spark = self.store.spark
-        return spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{t['path']}") if t["path"] else spark.createDataFrame([], SCHEMA)
+        spark, root = self.store.spark, self.store.root
+        base = spark.read.schema(SCHEMA).parquet(f"{root}/{t['path']}") if t["path"] else spark.createDataFrame([], SCHEMA)
+        logs = [spark.read.schema(LOG_SCHEMA).parquet(f"{root}/{p}") for p in t["logs"]]
+        return self.folded(name, base, logs, where)
+
+    def folded(self, name: str, base: DataFrame, logs: list[DataFrame], where: Column | None) -> DataFrame:
+        base = base if where is None else base.where(where)
+        if not logs:
+            return base
+        log = logs[0]
+        for more in logs[1:]:
+            log = log.unionByName(more)
+        if where is not None:
+            log = log.where(where | F.col("key").isNull())
+        return dup.fold(base, log) if self.check(name)["dup"] else write.fold(base, log)
 
     def get(self, key: bytes, name: str = MAIN) -> bytes | None:
         """Value of a key; the smallest one in a table of sets."""
-        rows = read.get(self.table(name), key).orderBy("value").limit(1).collect()
+        rows = self.table(name, F.col("key") == F.lit(key)).orderBy("value").limit(1).collect()
         return bytes(rows[0]["value"]) if rows else None
 
     def get_all(self, key: bytes, name: str = MAIN) -> list[bytes]:
-        return [bytes(r["value"]) for r in dup.get_all(self.table(name), key).collect()]
+        return [bytes(r["value"]) for r in self.table(name, F.col("key") == F.lit(key)).orderBy("value").collect()]
 
     def range(self, start: bytes | None, end: bytes | None, name: str = MAIN) -> DataFrame:
-        return read.range_scan(self.table(name), start, end)
+        k, where = F.col("key"), None
+        for side in ([k >= F.lit(start)] if start is not None else []) + ([k < F.lit(end)] if end is not None else []):
+            where = side if where is None else where & side
+        return self.table(name, where).orderBy("key", "value")
 
     def items(self, name: str = MAIN):
         """Rows in order, one at a time on the driver."""
@@ -355,7 +395,7 @@ class WriteTxn(Txn):
         if name not in tables:
             if len(tables) - 1 >= self.store.max_databases:
                 raise DatabasesFull(f"{self.store.max_databases} databases")
-            tables[name] = {"dup": dup_sort, "path": None, "entries": 0, "codec": list(codec)}
+            tables[name] = {"dup": dup_sort, "path": None, "logs": [], "codec": list(codec)}
             self.changed = True
 
     def drop(self, name: str) -> None:
@@ -369,20 +409,19 @@ class WriteTxn(Txn):
 
     # reading and ending
 
-    def log(self, name: str) -> DataFrame | None:
-        staged = list(self.frames.get(name, []))
+    def staged(self, name: str) -> DataFrame | None:
+        """Operations staged for a table, numbered after those of all versions before."""
+        parts = list(self.frames.get(name, []))
         if rows := self.rows.get(name):
-            staged.append(self.store.spark.createDataFrame(rows, LOG_SCHEMA))
+            parts.append(self.store.spark.createDataFrame(rows, LOG_SCHEMA))
         out = None
-        for frame in staged:
-            out = frame if out is None else out.unionByName(frame)
-        return out
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+        return None if out is None else out.withColumn("seq", F.col("seq") + (self.number << SEQUENCE_BITS))
 
-    def table(self, name: str = MAIN) -> DataFrame:
-        base, log = super().table(name), self.log(name)
-        if log is None:
-            return base
-        return dup.fold(base, log) if self.check(name)["dup"] else write.fold(base, log)
+    def folded(self, name: str, base: DataFrame, logs: list[DataFrame], where: Column | None) -> DataFrame:
+        own = self.staged(name)
+        return super().folded(name, base, logs if own is None else [*logs, own], where)
 
     def commit(self) -> int:
         """Number of the version that holds the changes; the one before if there are none."""
@@ -396,12 +435,16 @@ class WriteTxn(Txn):
             for name in touched:
                 t = self.state["tables"][name]
                 path = f"tables/{name}/v{self.number:020d}"
-                in_key_order(self.table(name), t["dup"]).write.options(**self.store.write_options()).parquet(f"{self.store.root}/{path}")
-                rows = self.store.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{path}")
-                t["entries"] = rows.select("key").distinct().count() if t["dup"] else rows.count()
-                t["path"] = path
+                # clears have no key; they and the rest of the log lie in key order
+                self.staged(name).repartitionByRange("key").sortWithinPartitions("key", "seq").write.parquet(f"{self.store.root}/{path}-log")
+                if self.store.rewrites(t, self.store.files.bytes(f"{path}-log")):
+                    in_key_order(self.table(name), t["dup"]).write.options(**self.store.write_options()).parquet(f"{self.store.root}/{path}")
+                    t["path"], t["logs"] = path, []
+                    self.store.files.delete(f"{path}-log")
+                else:
+                    t["logs"].append(f"{path}-log")
             if self.store.quota is not None:
-                size = sum(self.store.files.bytes(t["path"]) for t in self.state["tables"].values() if t["path"])
+                size = sum(self.store.files.bytes(p) for t in self.state["tables"].values() for p in folders(t))
                 if size > self.store.quota:
                     raise MapFull(f"{size} bytes")
             self.state["version"] = self.number

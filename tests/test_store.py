@@ -162,3 +162,41 @@ def test_stream_sink_skips_repeated_batches(spark, store):
 def test_error_codes():
     assert E.from_code(-30799).__class__ is E.KeyNotFound and E.MapFull.code == -30793
     assert E.from_code(12345).__class__ is E.KvError
+
+
+@pytest.mark.parametrize("logs,share", [(0, 0.0), (100, 1e9), (2, 1e9)])
+def test_logs_over_a_base(spark, tmp_path, logs, share):
+    """Many small commits give the same state however often a base is written."""
+    import random
+
+    rng = random.Random(8)
+    store = Store(spark, f"file://{tmp_path}/s", logs=logs, log_share=share)
+    store.create("d", dup_sort=True)
+    state, pairs, kept = {}, set(), []
+    for step in range(7):
+        with store.write_txn() as txn:
+            if step == 4:
+                txn.clear()
+                state.clear()
+            for _ in range(6):
+                k, v = b"k%d" % rng.randrange(8), b"v%d" % rng.randrange(100)
+                if rng.random() < 0.7:
+                    txn.put(k, v)
+                    txn.put(k, v, "d")
+                    state[k] = v
+                    pairs.add((k, v))
+                else:
+                    assert txn.delete(k) == (k in state)
+                    txn.delete(k, "d")
+                    state.pop(k, None)
+                    pairs = {p for p in pairs if p[0] != k}
+        kept.append((store.read_txn(), dict(state)))
+    for reader, then in kept:
+        assert items(reader) == then
+    last = kept[-1][0]
+    assert set(last.items("d")) == pairs and last.count() == len(state)
+    assert [(bytes(r["key"]), bytes(r["value"])) for r in last.range(b"k2", b"k6").collect()] == sorted(p for p in state.items() if b"k2" <= p[0] < b"k6")
+    assert all(last.get(k) == v for k, v in state.items()) and last.get(b"none") is None
+    assert len(store.latest()["tables"]["main"]["logs"]) == {0: 0, 100: 6, 2: 0}[logs]
+    again = store.copy(f"file://{tmp_path}/copy", compact=True).read_txn()
+    assert items(again) == state and not again.state["tables"]["main"]["logs"]
