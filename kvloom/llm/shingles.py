@@ -149,9 +149,19 @@ def spread(sets_of, ranges: int):
     return run
 
 
-def pack(h: np.ndarray, o: np.ndarray) -> bytes:
-    """Hashes of 48 bits and document numbers of 16 in eight bytes each."""
-    return ((h << np.uint64(16)) | o.astype(np.uint64)).astype("<u8").tobytes()
+def pack(h: np.ndarray, o: np.ndarray, *more: np.ndarray) -> bytes:
+    """Rising hashes of 48 bits as steps, document numbers of 16 bits, and more numbers of 32 bits, each kind together: the steps' high bytes are zeros that compress away."""
+    step = np.diff(h, prepend=np.uint64(0))
+    parts = [(step & np.uint64(0xFFFFFFFF)).astype("<u4"), (step >> np.uint64(32)).astype("<u2"), o.astype("<u2"), *[m.astype("<u4") for m in more]]
+    return b"".join(p.tobytes() for p in parts)
+
+
+def unpack(data: bytes, width: int = 8) -> tuple[np.ndarray, ...]:
+    """What ``pack`` packed; ``width`` is its bytes an entry."""
+    k = len(data) // width
+    low, high, o = np.frombuffer(data, "<u4", k), np.frombuffer(data, "<u2", k, 4 * k), np.frombuffer(data, "<u2", k, 6 * k)
+    h = np.cumsum(low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
+    return (h, o, *[np.frombuffer(data, "<u4", k, at * k) for at in range(8, width, 4)])
 
 
 def answer(key: tuple, group: pa.Table) -> pa.Table:
@@ -161,15 +171,16 @@ def answer(key: tuple, group: pa.Table) -> pa.Table:
     asked = group.filter(pa.array(kind == 1))
     if not asked.num_rows:
         return passed
-    data = asked["data"].to_pylist()
-    flat = np.frombuffer(b"".join(data), "<u8")
-    h = flat >> np.uint64(16)
+    data = [unpack(d) for d in asked["data"].to_pylist()]
+    h, o = (np.concatenate([d[k] for d in data]) for k in (0, 1))
     _, inverse = np.unique(h, return_inverse=True)
     # a counted entry stands for HOT documents or more
-    count = np.bincount(inverse, np.where((flat & np.uint64(0xFFFF)) == COUNTED, HOT, 1))[inverse].astype("<u4")
-    shared = count > 1
-    ends = np.cumsum([len(d) // 8 for d in data])
-    out = [flat[a:b][shared[a:b]].tobytes() + count[a:b][shared[a:b]].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    count = np.bincount(inverse, np.where(o == COUNTED, HOT, 1))[inverse].astype("<u4")
+    shared, out, at = count > 1, [], 0
+    for h, o in data:
+        keep, f = shared[at : at + len(h)], count[at : at + len(h)]
+        at += len(h)
+        out.append(pack(h[keep], o[keep], f[keep]) if keep.any() else b"")
     keep = [i for i, x in enumerate(out) if x]
     made = pa.table({"batch": asked["batch"].combine_chunks().take(pa.array(keep, pa.int64())), "kind": pa.array([1] * len(keep), pa.int32()), "data": pa.array([out[i] for i in keep], pa.binary())})
     return pa.concat_tables([passed.combine_chunks(), made.select(["batch", "kind", "data"])])
@@ -182,19 +193,17 @@ def gather(percent: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         docs: list[tuple] = []
         lists: dict[int, np.ndarray] = {}
-        entries, counts = [], []
+        entries = []
         for kind, data in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if kind == 0:
                 docs = pickle.loads(data)
             elif kind == 2:
                 lists |= dict(pickle.loads(data))
             else:
-                k = len(data) // 12
-                entries.append(np.frombuffer(data, "<u8", k))
-                counts.append(np.frombuffer(data, "<u4", k, 8 * k))
-        flat = np.concatenate(entries) if entries else np.zeros(0, np.uint64)
-        f = np.concatenate(counts) if counts else np.zeros(0, "<u4")
-        h, o = flat >> np.uint64(16), (flat & np.uint64(0xFFFF)).astype(np.int64)
+                entries.append(unpack(data, 12))
+        none = (np.zeros(0, np.uint64), np.zeros(0, "<u2"), np.zeros(0, "<u4"))
+        h, o, f = (np.concatenate([e[k] for e in [none, *entries]]) for k in range(3))
+        o = o.astype(np.int64)
         counted = o == COUNTED
         more = [(x, k, lists[x]) for x, k in zip(h[counted].tolist(), f[counted].tolist(), strict=True)]
         h = np.concatenate([h[~counted], *[np.full(len(d), x, np.uint64) for x, _, d in more]])
