@@ -34,8 +34,9 @@ def multi_get(t: DataFrame, keys: DataFrame, misses: bool = False) -> DataFrame:
     Spark picks the join: a probe side under the session's broadcast limit is broadcast, a larger one
     is shuffled with the table.
     """
-    probes = keys.select("key").distinct()
-    return probes.join(t, "key", "left") if misses else t.join(probes, "key", "left_semi")
+    if misses:
+        return keys.select("key").distinct().join(t, "key", "left")
+    return t.join(keys.select("key"), "key", "left_semi")  # a semi join needs no distinct keys
 
 
 def first(t: DataFrame, order: Order = LEXICOGRAPHIC, n: int = 1) -> DataFrame:
@@ -129,22 +130,26 @@ def ranged(t: DataFrame, order: Order = LEXICOGRAPHIC) -> DataFrame:
     return t.withColumn("_part", F.lit(len(cuts)) - part if order.descending else part)
 
 
-def neighbours(t: DataFrame, order: Order = LEXICOGRAPHIC) -> DataFrame:
-    """Every row with the keys before and after it, null at the ends.
+def neighbours(t: DataFrame, order: Order = LEXICOGRAPHIC, carry: str | None = None) -> DataFrame:
+    """Every row with the keys before and after it, null at the ends; with ``carry``, that column's values there too.
 
-    Windows run inside key ranges; only each range's first and last key, one row a range, are put in
-    one place to fill the gaps at the borders.
+    Windows run inside key ranges; only each range's first and last row are put in one place to fill
+    the gaps at the borders.
     """
-    d = ranged(t, order)
+    row = F.struct(F.col("key").alias("key"), *([F.col(carry).alias("with")] if carry else []))
+    d = ranged(t, order).withColumn("_row", row)
     w = W.partitionBy("_part").orderBy(*order.by(F.col("key")))
-    inside = d.select("*", F.lag("key").over(w).alias("prev_key"), F.lead("key").over(w).alias("next_key"))
+    inside = d.select("*", F.lag("_row").over(w).alias("_prev"), F.lead("_row").over(w).alias("_next")).drop("_row")
     pick = (F.max_by, F.min_by) if order.descending else (F.min_by, F.max_by)
     rank = order.rank(F.col("key"))
-    ends = d.groupBy("_part").agg(pick[0]("key", rank).alias("_first"), pick[1]("key", rank).alias("_last"))
+    ends = d.groupBy("_part").agg(pick[0]("_row", rank).alias("_first"), pick[1]("_row", rank).alias("_last"))
     b = W.orderBy("_part")
     borders = ends.select("_part", F.lag("_last").over(b).alias("_before"), F.lead("_first").over(b).alias("_after"))
-    out = inside.join(F.broadcast(borders), "_part")
-    return out.withColumns({"prev_key": F.coalesce("prev_key", "_before"), "next_key": F.coalesce("next_key", "_after")}).drop("_part", "_before", "_after")
+    out = inside.join(F.broadcast(borders), "_part").withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
+    out = out.withColumns({"prev_key": F.col("_prev.key"), "next_key": F.col("_next.key")})
+    if carry:
+        out = out.withColumns({f"prev_{carry}": F.col("_prev.with"), f"next_{carry}": F.col("_next.with")})
+    return out.drop("_part", "_before", "_after", "_prev", "_next")
 
 
 def seek_many(t: DataFrame, probes: DataFrame) -> DataFrame:

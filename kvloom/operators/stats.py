@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kvloom.functions import capacity as C
 from kvloom.operators.read import neighbours
@@ -44,11 +45,8 @@ def stat(t: DataFrame) -> DataFrame:
 
 def unsorted(t: DataFrame) -> DataFrame:
     """Rows (ordered by column ``pos``) whose key is not less than the next one's: the places where a sequence is not sorted."""
-    seq = t.select(F.col("pos").alias("key"), F.col("key").alias("k"))
-    after = seq.select("key", F.col("k").alias("next_k"))
-    step = neighbours(seq).where("next_key IS NOT NULL").select("key", "k", "next_key")
-    met = step.join(after.withColumnRenamed("key", "next_key"), "next_key")
-    return met.where("NOT k < next_k").select(F.col("key").alias("pos"), F.col("k").alias("key"), F.col("next_k").alias("next_key"))
+    step = neighbours(t.select(F.col("pos").alias("key"), F.col("key").alias("k")), carry="k").where("next_key IS NOT NULL")
+    return step.where("NOT k < next_k").select(F.col("key").alias("pos"), F.col("k").alias("key"), F.col("next_k").alias("next_key"))
 
 
 def repeated(t: DataFrame) -> DataFrame:
@@ -56,6 +54,17 @@ def repeated(t: DataFrame) -> DataFrame:
     return t.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def file_ranges(t: DataFrame) -> DataFrame:
+    """(file, entries, low, high) of the files behind a table: what a scan can skip by."""
+    return t.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("entries"), F.min("key").alias("low"), F.max("key").alias("high"))
+
+
+def overlapping_files(t: DataFrame) -> DataFrame:
+    """Files whose key range begins inside that of a file before; none in a table written in key order. One row a file is put in order."""
+    before = F.max("high").over(W.orderBy("low", "high", "file").rowsBetween(W.unboundedPreceding, -1))
+    return file_ranges(t).withColumn("_before", before).where("low <= _before").drop("_before")
+
+
 def shared_prefix(t: DataFrame) -> DataFrame:
     """(key, prefix_len): bytes that each key shares with the key before it, 0 for the first."""
     n = neighbours(t.select("key"))
@@ -72,8 +81,7 @@ def access_pattern(accesses: DataFrame) -> DataFrame:
     change what came before.
     """
     singles = accesses.where("NOT is_bulk").select(F.col("pos").alias("key"), "page")
-    before = singles.select(F.col("key").alias("prev_key"), F.col("page").alias("prev_page"))
-    steps = neighbours(singles).join(before, "prev_key", "left")
+    steps = neighbours(singles, carry="page")
     near = F.coalesce(F.abs(F.col("page") - F.col("prev_page")) == 1, F.lit(False))
     counts = steps.agg(F.coalesce(F.sum(F.when(near, 1).otherwise(0)), F.lit(0)).cast("long").alias("sequential"), F.coalesce(F.sum(F.when(near, 0).otherwise(1)), F.lit(0)).cast("long").alias("random"))
     bulk = accesses.agg(F.coalesce(F.sum(F.when(F.col("is_bulk"), 1).otherwise(0)), F.lit(0)).cast("long").alias("bulk"))

@@ -3,6 +3,7 @@
 import pytest
 
 from kvloom.functions import errors as E
+from kvloom.operators import stats
 from kvloom.sources.store import Store
 from kvloom.streaming.group_commit import Write, commit_group, sink
 
@@ -200,3 +201,12 @@ def test_logs_over_a_base(spark, tmp_path, logs, share):
     assert len(store.latest()["tables"]["main"]["logs"]) == {0: 0, 100: 6, 2: 0}[logs]
     again = store.copy(f"file://{tmp_path}/copy", compact=True).read_txn()
     assert items(again) == state and not again.state["tables"]["main"]["logs"]
+
+
+def test_files_lie_in_key_order(spark, store):
+    log = spark.range(500).selectExpr("id AS seq", "'put' AS op", "encode(lpad(CAST(id * 7919 % 500 AS STRING), 5, '0'), 'UTF-8') AS key", "encode('v', 'UTF-8') AS value")
+    with store.write_txn() as txn:
+        txn.apply(log.repartition(4))
+    t = store.read_txn().table()
+    assert stats.file_ranges(t).agg({"entries": "sum"}).first()[0] == 500
+    assert stats.overlapping_files(t).count() == 0 and stats.repeated(t).count() == 0
