@@ -134,10 +134,10 @@ class Store:
             out = one if out is None else out.unionByName(one)
         return out
 
-    def rewrites(self, t: dict, more: int) -> bool:
-        """Whether a table with a log of ``more`` bytes added is to get a new base."""
-        size = sum(self.files.bytes(p) for p in t["logs"]) + more
-        return not t["path"] or len(t["logs"]) + 1 > self.logs or size > self.log_share * self.files.bytes(t["path"])
+    def rewrites(self, t: dict) -> bool:
+        """Whether a table is to get a new base."""
+        size = sum(self.files.bytes(p) for p in t["logs"])
+        return not t["path"] or len(t["logs"]) > self.logs or size > self.log_share * self.files.bytes(t["path"])
 
     def write_options(self) -> dict[str, str]:
         return {"parquet.bloom.filter.enabled#key": "true"} if self.bloom else {}
@@ -435,14 +435,17 @@ class WriteTxn(Txn):
             for name in touched:
                 t = self.state["tables"][name]
                 path = f"tables/{name}/v{self.number:020d}"
-                # clears have no key; they and the rest of the log lie in key order
-                self.staged(name).repartitionByRange("key").sortWithinPartitions("key", "seq").write.parquet(f"{self.store.root}/{path}-log")
-                if self.store.rewrites(t, self.store.files.bytes(f"{path}-log")):
+                if folders(t):
+                    # clears have no key; they and the rest of the log lie in key order
+                    self.staged(name).repartitionByRange("key").sortWithinPartitions("key", "seq").write.parquet(f"{self.store.root}/{path}-log")
+                    self.rows.pop(name, None)
+                    self.frames.pop(name, None)
+                    t["logs"].append(f"{path}-log")
+                if self.store.rewrites(t):
                     in_key_order(self.table(name), t["dup"]).write.options(**self.store.write_options()).parquet(f"{self.store.root}/{path}")
+                    if t["logs"]:
+                        self.store.files.delete(f"{path}-log")
                     t["path"], t["logs"] = path, []
-                    self.store.files.delete(f"{path}-log")
-                else:
-                    t["logs"].append(f"{path}-log")
             if self.store.quota is not None:
                 size = sum(self.store.files.bytes(p) for t in self.state["tables"].values() for p in folders(t))
                 if size > self.store.quota:
