@@ -283,7 +283,7 @@ def kv_fold_oplog(spark, d):
     return write.fold(customer(spark, d), event_log(spark, d))
 
 
-@query(FOLD_SQL.format(log=LOG_SQL.replace("ELSE 'put' END AS op", "ELSE 'put' END AS op").replace("CASE event_type", "CASE WHEN event_id = 3000 THEN 'clear' ELSE CASE event_type").replace("ELSE 'put' END AS op", "ELSE 'put' END END AS op")))
+@query(FOLD_SQL.format(log=f"SELECT seq, CASE WHEN seq = 3000 THEN 'clear' ELSE op END AS op, key, value FROM ({LOG_SQL})"))
 def kv_fold_with_clear(spark, d):
     log = event_log(spark, d).withColumn("op", F.when(F.col("seq") == 3000, "clear").otherwise(F.col("op")))
     return write.fold(customer(spark, d), log)
@@ -417,15 +417,12 @@ def ord_case_insensitive(spark, d):
     return positions(same.withColumn("key", F.col("same")), CASE_INSENSITIVE).drop("key")
 
 
-@query("SELECT o_orderkey AS id, printf('%016X', o_orderkey - 7000) AS hex FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 7000 THEN lpad(hex(o_orderkey - 7000), 16, '0') ELSE lpad(hex(CAST(18446744073709551616 + CAST(o_orderkey - 7000 AS HUGEINT) AS UHUGEINT)), 16, '0') END AS hex FROM orders")
 def key_be_raw(spark, d):
     o = table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.hex(codec.be_raw(F.col("o_orderkey") - 7000)).alias("hex"))
 
 
-ORACLES["key_be_raw"] = "SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 7000 THEN lpad(hex(o_orderkey - 7000), 16, '0') ELSE lpad(hex(CAST(18446744073709551616 + CAST(o_orderkey - 7000 AS HUGEINT) AS UHUGEINT)), 16, '0') END AS hex FROM orders"
-
-
 @query("SELECT o_orderkey AS id, lpad(hex(CAST(9223372036854775808 + CAST(o_orderkey - 7000 AS HUGEINT) AS UHUGEINT)), 16, '0') AS hex, CAST(o_orderkey - 7000 AS BIGINT) AS back FROM orders")
 def key_be_ordered(spark, d):
     o = table(spark, d, "orders")
@@ -613,40 +610,31 @@ def autogrow_next(spark, d):
     return sizes(spark, d).select("id", g.needed(F.col("n"), F.col("n") + F.col("s")).alias("needed"), g.next_size(F.col("m")).alias("next_size"))
 
 
-@query("SELECT lang, CAST(avg(strlen(text)) AS BIGINT) AS mean, CASE WHEN CAST(avg(strlen(text)) AS BIGINT) <= 128 THEN 'small' WHEN CAST(avg(strlen(text)) AS BIGINT) <= 1024 THEN 'medium' WHEN CAST(avg(strlen(text)) AS BIGINT) <= 8192 THEN 'large' ELSE 'huge' END AS page_size FROM documents GROUP BY lang")
+@query("SELECT lang, mean, CASE WHEN mean <= 128 THEN 'small' WHEN mean <= 1024 THEN 'medium' WHEN mean <= 8192 THEN 'large' ELSE 'huge' END AS page_size FROM (SELECT lang, CAST(sum(strlen(text)) // count(*) AS BIGINT) AS mean FROM documents GROUP BY lang)")
 def page_size_choice(spark, d):
     mean = F.floor(F.sum(F.octet_length("text")) / F.count("*")).cast("long")
     return table(spark, d, "documents").groupBy("lang").agg(mean.alias("mean")).withColumn("page_size", capacity.page_size_of_values(F.col("mean")))
 
 
-ORACLES["page_size_choice"] = "SELECT lang, mean, CASE WHEN mean <= 128 THEN 'small' WHEN mean <= 1024 THEN 'medium' WHEN mean <= 8192 THEN 'large' ELSE 'huge' END AS page_size FROM (SELECT lang, CAST(sum(strlen(text)) // count(*) AS BIGINT) AS mean FROM documents GROUP BY lang)"
-
-
 @query("SELECT p_partkey AS page, p_partkey // 16 AS new_page, p_partkey % 16 AS place FROM part")
 def page_migrate(spark, d):
     new, place = capacity.migrated(F.col("p_partkey"), "small", "large")
     return table(spark, d, "part").select(F.col("p_partkey").alias("page"), new.alias("new_page"), place.alias("place"))
 
 
-@query("""SELECT id, keys, used, used < 4056 * 0.85::DOUBLE IS FALSE AS splits, used + 200 <= 4056 AND (used + 200) / 4056.0::DOUBLE < CASE WHEN keys <= 5 THEN 0.98::DOUBLE WHEN keys <= 15 THEN 0.96::DOUBLE WHEN keys <= 30 THEN 0.94::DOUBLE ELSE 0.92::DOUBLE END AS room,
+@query("""SELECT id, keys, used, used / 4056.0::DOUBLE >= 0.85::DOUBLE AS splits, used + 200 <= 4056 AND (used + 200) / 4056.0::DOUBLE < CASE WHEN keys <= 5 THEN 0.98::DOUBLE WHEN keys <= 15 THEN 0.96::DOUBLE WHEN keys <= 30 THEN 0.94::DOUBLE ELSE 0.92::DOUBLE END AS room,
 (keys * 3) // 4 AS append_left FROM (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS keys, p_partkey * 37 % 4057 AS used FROM part)""")
 def page_fill_policy(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("keys"), (F.col("p_partkey") * 37 % 4057).alias("used"))
     return p.select("id", "keys", "used", capacity.should_split(F.col("used")).alias("splits"), capacity.room_for(F.col("used"), F.col("keys"), F.lit(200)).alias("room"), capacity.split_point(F.col("keys"), True, True, 0.85).alias("append_left"))
 
 
-ORACLES["page_fill_policy"] = ORACLES["page_fill_policy"].replace("used < 4056 * 0.85::DOUBLE IS FALSE AS splits", "used / 4056.0::DOUBLE >= 0.85::DOUBLE AS splits")
-
-
-@query("SELECT count(*) AS pages, avg(used / 4056.0::DOUBLE) AS avg_utilization, count(*) FILTER (used / 4056.0::DOUBLE >= 0.9) AS full_pages, count(*) FILTER (used / 4056.0::DOUBLE >= 0.85) AS split_pages FROM (SELECT p_partkey * 37 % 4057 AS used FROM part)")
+@query("SELECT count(*) AS pages, round(avg(used / 4056.0::DOUBLE), 9) AS avg_utilization, count(*) FILTER (used / 4056.0::DOUBLE >= 0.9) AS full_pages, count(*) FILTER (used / 4056.0::DOUBLE >= 0.85) AS split_pages FROM (SELECT p_partkey * 37 % 4057 AS used FROM part)")
 def page_fill_stats(spark, d):
     out = stats.fill_stats(table(spark, d, "part").select((F.col("p_partkey") * 37 % 4057).alias("used_bytes")))
     return out.withColumn("avg_utilization", F.round("avg_utilization", 9))
 
 
-ORACLES["page_fill_stats"] = ORACLES["page_fill_stats"].replace("avg(used / 4056.0::DOUBLE)", "round(avg(used / 4056.0::DOUBLE), 9)")
-
-
 @query("SELECT s_suppkey AS id, CAST(floor(4056 / CAST(8 + s_suppkey AS DOUBLE)) AS BIGINT) AS capacity FROM supplier")
 def fixed_page_capacity(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), capacity.fixed_capacity(F.lit(8), F.col("s_suppkey")).alias("capacity"))
@@ -694,13 +682,10 @@ def bloom_merge(spark, d):
 
 
 @query(" UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS code, '{e}' AS error" for c, e in errors.CODES.items()))
-def lmdb_error_codes(spark, d):
+def kv_error_codes(spark, d):
     return errors.code_table(spark)
 
 
-QUERIES["kv_error_codes"], ORACLES["kv_error_codes"] = QUERIES.pop("lmdb_error_codes"), ORACLES.pop("lmdb_error_codes")
-
-
 @query("SELECT count(*) AS readers, min(user_id) AS oldest_txn, count(*) FILTER (1000.0 - CAST(event_id AS DOUBLE) > 300.0) AS stale, max(1000.0 - CAST(event_id AS DOUBLE)) AS oldest_age FROM events WHERE event_id < 1000")
 def reader_table(spark, d):
     slots = table(spark, d, "events").where("event_id < 1000").select(F.col("event_type").alias("pid"), F.col("user_id").alias("txn_id"), F.col("event_id").cast("double").alias("since"))
