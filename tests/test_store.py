@@ -210,3 +210,23 @@ def test_files_lie_in_key_order(spark, store):
     t = store.read_txn().table()
     assert stats.file_ranges(t).agg({"entries": "sum"}).first()[0] == 500
     assert stats.overlapping_files(t).count() == 0 and stats.repeated(t).count() == 0
+
+
+def test_stream_into_a_store(spark, store, tmp_path):
+    """A stream of log files, run twice: each micro-batch is one version, and none is applied again."""
+    schema = "seq long, op string, key binary, value binary"
+    source = f"{tmp_path}/log"
+
+    def add(rows):
+        spark.createDataFrame([(i, op, bytearray(k), bytearray(v) if v else None) for i, op, k, v in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def drain():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream.writeStream.foreachBatch(sink(store)).option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
+
+    add([(0, "put", b"a", b"1"), (1, "put", b"b", b"2")])
+    drain()
+    add([(2, "delete", b"a", None), (3, "put", b"c", b"3")])
+    drain()
+    drain()
+    assert items(store.read_txn()) == {b"b": b"2", b"c": b"3"}
