@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +19,27 @@ WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 ROWS_OUT = 1000
 
 
+#: Bytes of one Arrow batch on the way to Python, where the session keeps Spark's own bound.
+BATCH_BYTES, SPARKS_BYTES = "4m", ("64m", "67108864b", "67108864")
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Small Arrow batches, so that long texts do not fill the memory of both sides."""
+    if spark.conf.get(BATCH_KEY, SPARKS_BYTES[0]).lower() in SPARKS_BYTES:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+def tidy() -> None:
+    """Give memory that a task has freed back to the system; workers live on, and share the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,5 +100,8 @@ def append(df: DataFrame, fields: list[StructField], make: Callable[[], Callable
                 batch = whole.slice(at, ROWS_OUT)
                 made = step(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [made[f.name] for f in fields], names=names + [f.name for f in fields])
+        del step
+        tidy()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)

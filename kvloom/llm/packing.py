@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from kvloom.llm.common import ROWS_OUT
+from kvloom.llm.common import ROWS_OUT, bounded, tidy
 
 WINDOW, PIECE, END_ID = 2048, 512, 1
 #: Pieces dealt at once; bounds the memory and the time of one differencing.
@@ -176,7 +176,10 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             deal()
         if rows:
             yield emit()
+        del bpe
+        tidy()
 
+    bounded(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FIELDS)
 
 

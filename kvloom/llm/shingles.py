@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from kvloom.llm.common import cut, words
+from kvloom.llm.common import bounded, cut, tidy, words
 from kvloom.llm.graph import Sets, components
 from kvloom.llm.trie import similar
 
@@ -145,6 +145,7 @@ def spread(sets_of, ranges: int):
             size += len(tokens)
         if docs:
             yield emit()
+        tidy()
 
     return run
 
@@ -226,6 +227,7 @@ def gather(percent: int):
 def shared_tokens(df: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
     """``SETS`` rows of all documents; tokens are the shared ones, null where no link is possible."""
     spark = df.sparkSession
+    bounded(spark)
     ranges = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = df.mapInArrow(spread(sets_of, ranges), StructType([StructField("range", IntegerType()), StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("data", BinaryType())]))
     answered = asked.groupBy("range").applyInArrow(answer, StructType([StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("data", BinaryType())]))

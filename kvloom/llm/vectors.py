@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StructField, StructType
 
-from kvloom.llm.common import cut
+from kvloom.llm.common import bounded, cut
 from kvloom.llm.graph import components
 
 COSINE = 0.95
@@ -147,6 +147,7 @@ def unpack(raw: pa.Array, kind: str) -> np.ndarray:
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     kind = "<f4" if isinstance(vectors.schema[vector].dataType, ArrayType) and isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "<f8"
+    bounded(vectors.sparkSession)
     v = F.col(vector)
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     usable = F.coalesce(v.isNotNull() & F.col(key).isNotNull() & finite & F.exists(v, lambda e: e != 0), F.lit(False))
