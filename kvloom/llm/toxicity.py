@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Features of a text are densities of two lexicons (a fixed one, and words and stems that the labelled
-rows single out by log-odds, weighted by their z-scores), how near second-person words stand to lexicon words, and rates of
+rows single out, weighted by the evidence for them), how near second-person words stand to lexicon words, and rates of
 capitals, punctuation, repeated signs and obfuscation (digits or signs inside words, stretched
 letters, words that meet the lexicon only once such disguise is undone).
 
@@ -15,6 +15,7 @@ score alike; without labelled rows of both classes every score is the mean label
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from kvloom.llm.common import append
 MODULUS, KEPT_BACK, THRESHOLD = 4, 2, 0.3
 #: Most labelled rows that lexicon, trees and calibration are fitted on.
 TRAIN_ROWS = 12_000
-#: Most entries of the learned lexicon, and the least rows and z-scores of the log-odds of its words and stems.
-LEXICON_SIZE, LEXICON_ROWS, LEXICON_Z, STEM_Z = 500, 4, 3.5, 6.0
+#: Most entries of the learned lexicon, and the least rows and evidence (signed root of the likelihood ratio) of its words and stems.
+LEXICON_SIZE, LEXICON_ROWS, LEXICON_Z, STEM_Z = 500, 4, 4.0, 4.5
 #: Lengths of the word beginnings that may be learned as stems; a stem is written with a star.
 STEMS = range(4, 9)
+#: A stem also counts as found twice or three times, in so many different words of a text.
+TIMES = (1, 2, 3)
 TREES, DEPTH, RATE, BINS, LEAF_ROWS, RIDGE, FOLDS = 60, 3, 0.15, 32, 5, 1.0, 5
 WORDS_KEPT = 200_000
 #: Words between a second-person word and a lexicon word that count as near.
@@ -68,7 +71,8 @@ def undo(word: str) -> str:
 def entries(text: str | None) -> list[str]:
     """What a text offers to the lexicon: its words in plain form and the stems of longer words."""
     found = {plain(w) for w in (text or "").split()} - {""}
-    return sorted(found | {w[:n] + "*" for w in found for n in STEMS if n < len(w)})
+    stems = Counter(w[:n] for w in found for n in STEMS if n < len(w))
+    return sorted(found | {f"{stem}*{k}" for stem, many in stems.items() for k in TIMES if k <= many})
 
 
 class Dense:
@@ -226,11 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sets = append(chosen, [StructField("words", ArrayType(StringType()))], words_of)
     totals = chosen.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
     n1, n0 = int(totals["n1"]), int(totals["n"]) - int(totals["n1"])
-    a, c = F.col("a") + 0.5, F.col("c") + 0.5
-    z = (F.log(a / (n1 - F.col("a") + 0.5)) - F.log(c / (n0 - F.col("c") + 0.5))) / F.sqrt(1 / a + 1 / c)
+    a, c, share = F.col("a"), F.col("c"), max(n1, 1) / max(n1 + n0, 1)
+    part = lambda x, p: F.when(x > 0, x * F.log(x / ((a + c) * p))).otherwise(0.0)
+    z = F.sqrt(2 * F.greatest(part(a, share) + part(c, max(1 - share, 1e-9)), F.lit(0.0)))
     counted = sets.select(F.explode("words").alias("word"), "label").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("c"))
-    top = counted.where(F.col("a") >= LEXICON_ROWS).withColumn("z", z).where(F.col("z") >= F.when(F.endswith("word", F.lit("*")), STEM_Z).otherwise(LEXICON_Z)).orderBy(F.desc("z"), "word").limit(LEXICON_SIZE)
-    learned = {r["word"]: r["z"] for r in top.collect()}
+    counted = counted.where((F.col("a") >= LEXICON_ROWS) & (a > (a + c) * share)).withColumn("z", z)
+    stem = F.contains("word", F.lit("*"))
+    top = counted.where(F.col("z") >= F.when(stem, STEM_Z).otherwise(LEXICON_Z)).orderBy(F.desc("z"), "word").limit(LEXICON_SIZE)
+    learned: dict[str, float] = {}
+    for r in top.collect():
+        word = r["word"][:-1] if "*" in r["word"] else r["word"]
+        learned[word] = max(learned.get(word, 0.0), r["z"])
 
     def make():
         dense = Dense(learned)
