@@ -28,8 +28,11 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at its threshold or above."""
-    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier scores at its threshold or above.
+
+    It is fitted on the raw corpus: the stage before has dropped most documents labelled bad.
+    """
+    weights = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(docs, weights, name="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
 
 

@@ -1,9 +1,10 @@
 """The pipeline against a plain version of each stage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kvloom.llm import packing, quality, quality_rules, secrets
+from kvloom.llm import labelled, packing, quality, quality_rules, secrets
 from kvloom.llm.common import table
 from tests.conftest import SF
 from tests.llm.fixtures import docs, empty
@@ -68,3 +69,13 @@ def test_repeated_ids_count_once(spark):
     out = corpus_pipeline.one_of_each(spark, d, SF)
     assert sorted(r["doc_id"] for r in out.collect()) == [6, 9]
     assert corpus_pipeline.one_of_each(spark, docs(spark).where("doc_id = 7"), SF).count() == 1
+
+
+def test_classifier_learns_from_documents_that_the_rules_dropped(spark):
+    start, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    good, bad = (labels.where(f"quality = {q}").select("doc_id") for q in (1, 0))
+    unseen = bad.where(labelled.held_out(F.col("doc_id"), quality.MODULUS, quality.KEPT_BACK))
+    # none of the bad documents that come to this stage may be learned from
+    came = start.join(good.unionByName(unseen), "doc_id", "left_semi").select(*start.columns).cache()
+    kept = corpus_pipeline.by_classifier(spark, came, SF).cache()
+    assert unseen.count() > 0 and kept.join(bad, "doc_id", "left_semi").count() == 0 and kept.count() == good.count()
