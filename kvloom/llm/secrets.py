@@ -2,7 +2,8 @@
 
 Fixed patterns find the well-known shapes (assignments to secret-like names, access keys, long
 hexadecimal runs). On top of them the text is lexed as source or configuration: every
-``name <operator> value`` becomes a name-literal pair, names bound to literals earlier in the
+``name <operator> value`` becomes a name-literal pair, whether the name is typed or a subscript and
+the value bracketed, made of adjacent strings or on the next line; names bound to literals earlier in the
 text are propagated into later right-hand sides, string concatenations are joined, and each
 literal is scored by how sensitive its target name is and how random the literal looks.
 
@@ -37,14 +38,35 @@ NAME_WEIGHTS = {
 }
 #: A literal is reported when name weight times literal strength reaches this.
 SCORE_LEAST = 0.5
+#: Names of this weight and more may have passphrases, with white space, as their values.
+PHRASE_WEIGHT = 0.9
 #: Literals of this many characters and more count as long in full.
 STRONG_LENGTH = 16
 
+# What makes up an assignment. Runs are possessive, so names and strings of any length cost their size.
+# Types may have brackets inside brackets; what they hold ends at a colon, so no text is read over and over.
+INNER = r"[^\n=:\[\]<>]*+"
+NESTED = INNER
+for _ in range(4):
+    NESTED = rf"{INNER}(?:[\[<]{NESTED}[\]>]{INNER})*+"
+TYPE = rf"[&*]?(?:'\w+\x20)?[A-Za-z_][\w.]*+(?:[\[<]{NESTED}[\]>])*+[?!]?"
 PAIR = re.compile(
-    r"(?<![A-Za-z0-9_.\-])(?P<q>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=q)\x20*(?::=|=>|=(?!=)|:(?![:/]))\x20*"
-    r"(?P<value>(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z0-9+/_.=\-$@%!#^&*~]+)(?:\x20*\+\x20*(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_]*))*)"
+    r"(?<![A-Za-z0-9_.\-])(?P<q>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"
+    r"(?P<subs>(?:[\x20\t]*+\[\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|[A-Za-z0-9_.\-]*+)\s*+\])*+)[\x20\t]*+"
+    rf"(?:[?!]?:[\x20\t]*+(?P<type>{TYPE}(?:[\x20\t]*+\|[\x20\t]*+{TYPE})*+)(?:[\x20\t]++=(?![=>])|=(?=[\x20\t]*+[\"'`(]))|:=|=>|=(?!=)|:(?![:/]))"
 )
-TERM = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|([^\s\"'+][^\s\"']*)")
+SUBSCRIPT = re.compile(r"\[\s*(?:\"([^\"\n]*)\"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.\-]*))\s*\]")
+STRING = re.compile(
+    r"(?:[rRbBuUfF]{1,2}(?=[\"']))?(?:\"\"\"((?:(?!\"\"\").)*+)\"\"\"|\'\'\'((?:(?!\'\'\').)*+)\'\'\'"
+    r"|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|\"([^\"\n]*+)\"|'([^'\n]*+)'|`([^`\n]*+)`)",
+    re.DOTALL,
+)
+BARE = re.compile(r"[A-Za-z0-9+/_.=\-$@%!#^&*~]+")
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+# White space inside a line (a backslash carries it on), over lines, and over lines with comments.
+INLINE, LINES, INSIDE = re.compile(r"(?:[\x20\t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n|#[^\n]*+|//[^\n]*+)*+")
+#: What follows a key, and the end of a line.
+KEY_END, LINE_END = re.compile(r"[\x20\t]*+(?:[:=]|\[)"), re.compile(r"[\x20\t\r]*+(?:\n|\Z)")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -56,9 +78,12 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in joined), default=0.0)
 
 
-def strength(literal: str) -> float:
-    """0 to 1: length, entropy of characters and mixture of character classes of a literal."""
-    if len(literal) < 8 or any(c.isspace() for c in literal):
+def strength(literal: str, spaces: bool = False) -> float:
+    """0 to 1: length, entropy of characters and mixture of character classes of a literal.
+
+    Literals with white space count only where ``spaces`` says so.
+    """
+    if len(literal) < 8 or (not spaces and any(c.isspace() for c in literal)):
         return 0.0
     n = len(literal)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
@@ -78,27 +103,70 @@ def base_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     return found
 
 
+def value_terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
+    """Terms (text, start, end, whether quoted) of the value that begins after an operator, and where it ends.
+
+    Terms are joined by ``+`` or stand side by side as strings, in round brackets also on further
+    lines. A value on the next line is a string, brackets or a word that fills the line, no key.
+    """
+    terms: list[tuple[str, int, int, bool]] = []
+    depth, end, wanted = 0, at, True
+    while True:
+        i = (INSIDE if depth else INLINE).match(text, end).end()
+        if wanted and not depth:
+            i = LINES.match(text, end).end()
+        moved = "\n" in text[end:i]
+        if i >= len(text):
+            break
+        if wanted and text[i] == "(":
+            depth, end = depth + 1, i + 1
+        elif not wanted and depth and text[i] == ")":
+            depth, end = depth - 1, i + 1
+        elif not wanted and text[i] == "+":
+            wanted, end = True, i + 1
+        elif (m := STRING.match(text, i)) and (wanted or terms[-1][3]):
+            if (moved and not depth or not wanted) and KEY_END.match(text, m.end()):
+                break
+            k = m.lastindex
+            terms.append((m[k], m.start(k), m.end(k), True))
+            wanted, end = False, m.end()
+        elif wanted and (m := (NAME if terms or depth else BARE).match(text, i)):
+            if moved and not depth and not terms and not (LINE_END.match(text, m.end()) and not m[0].endswith("=")):
+                break
+            terms.append((m[0], m.start(), m.end(), False))
+            wanted, end = False, m.end()
+        else:
+            break
+    return terms, end
+
+
 def literal_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     """Literals that reach a sensitive name directly, by concatenation or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    bound: dict[str, tuple[str, list[tuple[int, int]], bool]] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    for m in PAIR.finditer(text):
-        value, places = "", []
-        at = m.start("value")
-        for t in TERM.finditer(m["value"]):
-            k = t.lastindex
-            piece, start, end = t[k], at + t.start(k), at + t.end(k)
-            if k == 3 and piece in bound:
-                value, places = value + bound[piece][0], places + bound[piece][1]
-            elif k == 3 and m["value"].strip() != piece and IDENTIFIER.match(piece):
+    at = 0
+    while m := PAIR.search(text, at):
+        terms, at = value_terms(text, m.end())
+        if not terms:
+            at = m.end()
+            continue
+        value, places, quoted = "", [], True
+        for piece, start, end, string in terms:
+            if not string and piece in bound:
+                value, places, quoted = value + bound[piece][0], places + bound[piece][1], quoted and bound[piece][2]
+            elif not string and len(terms) > 1 and IDENTIFIER.match(piece):
                 continue
             else:
-                value, places = value + piece, [*places, (start, end)]
-        name = m["name"]
-        bound[name] = (value, places)
-        score = name_weight(name) * strength(value)
+                value, places, quoted = value + piece, [*places, (start, end)], quoted and string
+        subscripts = SUBSCRIPT.findall(m["subs"])
+        name = next((x for x in subscripts[-1] if x), m["name"]) if subscripts else m["name"]
+        bound[m["name"] + m["subs"]] = (value, places, quoted)
+        if m["type"] and name_weight(m["type"]) > name_weight(name):  # a label before an assignment looks like a typed name
+            name = m["type"]
+        weight = name_weight(name)
+        score = weight and weight * strength(value, quoted and weight >= PHRASE_WEIGHT)
         if score >= SCORE_LEAST:
             for p in places:
                 if p[0] < p[1] and score > found.get(p, ("", 0.0))[1]:
