@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Two multinomials over the same hashed unigrams and bigrams are counted: one over a bounded sample
-of trusted documents, one over all documents. A document's score is the mean, over its n-grams,
+Two multinomials over the same hashed unigrams and bigrams are counted: one over all trusted
+documents, one over all documents. A document's score is the mean, over its n-grams,
 of the log ratio of their smoothed probabilities; the verdict compares it with a fixed threshold,
 so each document is judged alone and the same way every time. Base rules on length and repetition
 come first.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of the multinomials.
 BUCKETS = 8192
-#: Most trusted documents counted for the target; the raw corpus is counted over all documents.
-TARGET_ROWS = 20_000
+#: Most trusted ids that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Pseudo-count of every bucket, in both multinomials.
 SMOOTH = 1.0
 #: A document is kept if the mean log ratio of its n-grams reaches this.
@@ -101,10 +101,12 @@ def base(docs: DataFrame, text: str) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> list[float]:
     """Log ratio of target to raw probability for every bucket.
 
-    ``trusted`` holds the ids of the target's documents, at most ``TARGET_ROWS``, so it is broadcast.
+    ``trusted`` holds the ids of the target's documents, each once.
     Counts are added up before and after the shuffle; at most ``BUCKETS`` rows come back.
     """
-    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(trusted.select(F.col(key).alias("_key"), F.lit(1).alias("_target"))), "_key", "left")
+    ids = trusted.select(F.col(key).alias("_key"), F.lit(1).alias("_target"))
+    few = ids.count() <= BROADCAST_IDS
+    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(ids) if few else ids, "_key", "left")
     # the outer form keeps the optimizer from adding a filter that works the buckets out once more
     each = with_buckets(marked, "_text", "_buckets").select(F.explode_outer("_buckets").alias("bucket"), F.coalesce("_target", F.lit(0)).alias("target"))
     counts = each.groupBy("bucket").agg(F.sum("target").alias("target"), F.count("*").alias("raw"))
@@ -120,9 +122,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids of at most ``TARGET_ROWS`` documents labelled good: those with the least hash of the id."""
-    good = labels.where((F.col("quality") == 1) & F.col(key).isNotNull()).select(key).distinct()
-    return good.orderBy(F.xxhash64(key), key).limit(TARGET_ROWS)
+    """Ids of the documents labelled good, each once."""
+    return labels.where((F.col("quality") == 1) & F.col(key).isNotNull()).select(key).distinct()
 
 
 def judge(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:

@@ -87,6 +87,20 @@ def test_ratio_equals_brute_force(spark):
         assert len(r["b"]) == 2 * n - 1
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    many = labels(spark, 40_000)
+    assert quality_rules.trusted_ids(many).count() == many.where("quality = 1").count() > 20_000
+    d = spark.range(40_000).selectExpr("id AS doc_id", "concat('word', id % 50, ' and more') AS text")
+    ratios = quality_rules.log_ratios(d, quality_rules.trusted_ids(many))
+    rows = quality_rules.with_buckets(d, "text", "b").collect()
+    target, raw = np.ones(quality_rules.BUCKETS), np.ones(quality_rules.BUCKETS)
+    np.add.at(raw, np.concatenate([r["b"] for r in rows]), 1)
+    np.add.at(target, np.concatenate([r["b"] for r in rows if r["doc_id"] % 3]), 1)
+    assert np.allclose(ratios, np.log(target / target.sum()) - np.log(raw / raw.sum()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    assert quality_rules.log_ratios(d, quality_rules.trusted_ids(many)) == ratios
+
+
 def test_rules_keep_good_and_drop_junk(spark):
     d, l = frames(spark)
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.digest(d, l).collect()}
