@@ -6,7 +6,13 @@ worker and kept in a bounded store. A chunk's first and last word may be cut thr
 encoding covers the words that lie between white space inside it; at every join of chunks, the
 two ragged ends are put together and encoded again, over as many chunks as it takes until a
 white space on either side makes the ids agree with those of the whole text. White space is
-where the vocabulary's own splitting rules always break, so agreement there is exact.
+where the vocabulary's own splitting rules always break, and nothing composes across it, so
+agreement there is exact.
+
+That holds for files that compose characters (NFC), turn white space into spaces, lower-case, and
+split at white space; the file's own rules are read, and with any other rules every text is
+encoded whole. Words of ASCII alone are kept in small letters; others as they are, since composing
+comes before lower-casing and capitals compose otherwise than small letters.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to the empty string;
 texts that hold a special token's string are encoded whole; repeated rows give repeated results.
@@ -14,6 +20,7 @@ texts that hold a special token's string are encoded whole; repeated rows give r
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -28,10 +35,35 @@ from kvloom.llm.common import append
 ROLL, MASK = 8, 511
 #: Most chunks and most words kept by a worker; a full store is cut back to what is in use.
 CHUNKS_KEPT, WORDS_KEPT = 20_000, 500_000
+#: Words and chunks of more bytes are forgotten after the batch, so that a full store has a size.
+LONG = 8192
 #: Words put together in one call of the tokenizers library.
 LINE = 200
 SPACE = b" \t\n\x0b\x0c\r"
 FACTORS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(ROLL)], np.uint32)
+# The rules of a file whose texts may be cut at white space.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_at_space(path: str) -> bool:
+    """Whether a tokenizer file's rules let a text be encoded word by word."""
+    with open(path, encoding="utf-8") as file:
+        parsed = json.load(file)
+    normalizer, before = parsed.get("normalizer") or {}, parsed.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}]
+    return (
+        normalizer.get("normalizers") == NORMALIZERS
+        and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:])
+        and not parsed.get("post_processor") and not parsed["model"].get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"].encode()) & set(SPACE) for t in parsed.get("added_tokens", []))
+    )
+
+
+def word_form(word: bytes) -> bytes:
+    """What a word is kept under: words with equal forms have equal ids."""
+    return word.lower() if word.isascii() else word
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -59,6 +91,7 @@ class ChunkedBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = cuts_at_space(path)
         self.plain = self.tokenizer.decoder is None  # then decoding joins the tokens with spaces
         self.vocabulary = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
@@ -72,7 +105,7 @@ class ChunkedBpe:
         missing = [w for w in needed if w not in self.words]
         for at in range(0, len(missing), LINE):
             line = missing[at : at + LINE]
-            texts = [w.decode("utf-8") for w in line]
+            texts = [w.decode("utf-8") for w in line]  # a word holds whole characters, since chunks do
             encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(encoded.ids, "<i4")
             starts = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(ids))
@@ -98,15 +131,15 @@ class ChunkedBpe:
         new: dict[bytes, tuple[bytes, list[bytes] | None, bytes]] = {}
         parts: list[list[bytes] | str] = []
         for text in texts:
-            # small letters early make equal words equal; special strings must not arise from that
             data = text.encode("utf-8")
             low = data.lower()
-            if any(s in text or s.encode("utf-8") in low for s in self.special):
+            # special strings must not arise from small letters
+            if not self.by_word or any(s in text or s.encode("utf-8") in low for s in self.special):
                 parts.append(text)
                 continue
             at, own = 0, []
-            for end in chunk_ends(low):
-                chunk = low[at:end]
+            for end in chunk_ends(data):
+                chunk = data[at:end]
                 at = end
                 own.append(chunk)
                 if chunk not in self.chunks and chunk not in new:
@@ -122,10 +155,12 @@ class ChunkedBpe:
                 head, inner, tail = self.chunks.get(chunk) or new[chunk]
                 rest += head
                 if inner is not None:
-                    found.append(rest)
+                    found.append(word_form(rest))
                     rest = tail
-            joins.append([*found, rest])
-        self.learn({w for _, inner, _ in new.values() if inner for w in inner} | {w for found in joins for w in found if w})
+            joins.append([*found, word_form(rest)])
+        new = {c: (head, None if inner is None else [word_form(w) for w in inner], tail) for c, (head, inner, tail) in new.items()}
+        needed = {w for _, inner, _ in new.values() if inner for w in inner} | {w for found in joins for w in found if w}
+        self.learn(needed)
         known = self.words
         for chunk, (head, inner, tail) in new.items():
             self.chunks[chunk] = (head, None if inner is None else b"".join([known[w] for w in inner]), tail)
@@ -141,6 +176,10 @@ class ChunkedBpe:
                     pieces += (known[found[k]] if found[k] else b"", inner)
                     k += 1
             out.append(b"".join([*pieces, known[found[k]] if found[k] else b""]))
+        for store, used in ((self.chunks, new), (self.words, needed)):
+            for x in used:
+                if len(x) > LONG:
+                    store.pop(x, None)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -151,7 +190,6 @@ class ChunkedBpe:
 
 #: Encoders of this worker by file, so that later tasks find what earlier ones encoded.
 KEPT: dict[str, ChunkedBpe] = {}
-
 SPACE_SET = {SPACE[i : i + 1] for i in range(len(SPACE))}
 
 
