@@ -40,13 +40,16 @@ BATCH_IDS = 1 << 20
 #: Characters whose classes differ between releases of the regular expression engines, or that are
 #: white space in some only: texts with them go to the tokenizers library whole.
 ODD = re.compile("[\\x00-\\x08\\x0b-\\x0c\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff\\ufff0-\\uffff\\U00010000-\\U0010ffff]")
+#: tiktoken's pattern looks back over every character of a white space run (it fails near a million).
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 class ByteBpe:
     """Ids of a byte-level BPE file, as the tokenizers library gives them without special tokens added.
 
     The same vocabulary and pattern run in tiktoken, which is some four times faster; texts that hold a
-    special token's string or characters of disputed class go through the tokenizers library.
+    special token's string, characters of disputed class or white space so long that tiktoken's
+    pattern would run out of stack go through the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -73,7 +76,7 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or ODD.search(text) or any(s in text for s in self.special):
+        if self.fast is None or ODD.search(text) or any(s in text for s in self.special) or (len(text) >= 10_000 and LONG_SPACE.search(text)):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
