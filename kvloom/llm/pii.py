@@ -227,16 +227,20 @@ def pseudonyms(p: Permutation, text: str | None) -> list[tuple[str, int, int, st
     if not text:
         return []
     at_sign, digit = "@" in text, DIGIT.search(text) is not None
-    taken: list[tuple[str, int, int, str]] = []
+    taken: list[tuple[str, int, int, str]] = []  # by place
     for kind, pattern, make in FINDERS:
         if not (at_sign if kind == "email" else digit):
             continue
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for _, a, b, _ in taken):
-                continue
-            if (fresh := make(p, m[0])) is not None:
-                taken.append((kind, m.start(), m.end(), fresh))
-    return sorted(taken, key=lambda x: x[1])
+        found, at = [], 0
+        for m in pattern.finditer(text):  # by place too, so one pass along both
+            start, end = m.span()
+            while at < len(taken) and taken[at][2] <= start:
+                at += 1
+            if (at == len(taken) or end <= taken[at][1]) and (fresh := make(p, m[0])) is not None:
+                found.append((kind, start, end, fresh))
+        if found:
+            taken = sorted(taken + found, key=lambda x: x[1])
+    return taken
 
 
 def replace(text: str | None, found: list[tuple[str, int, int, str]]) -> str | None:
