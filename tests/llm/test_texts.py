@@ -4,8 +4,11 @@ import hashlib
 import json
 import random
 import re
+import string
+import time
 import zlib
 
+import numpy as np
 import pytest
 
 from kvloom.llm import bpe, packing, pii, queries, secrets
@@ -83,6 +86,85 @@ def test_pii_rows(spark):
     assert "pii_spans" in pii.pseudonymise(docs(spark), b"k").columns
 
 
+def independent_finds(text):
+    """(start, end) of valid emails, dotted addresses, social security numbers and ISO dates, by scanning every place."""
+    import calendar
+
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found, n = [], len(text)
+
+    def digits(at):
+        end = at
+        while end < n and text[end] in "0123456789":
+            end += 1
+        return end
+
+    def is_email(a, b):
+        local, at, domain = text[a:b].partition("@")
+        labels = domain.split(".")
+        return at and local and all(c in word or c in "._%+-" for c in local) and len(labels) > 1 and all(x and set(x) <= word | {"-"} for x in labels) and len(labels[-1]) > 1 and labels[-1].isascii() and labels[-1].isalpha()
+
+    a = 0
+    while a < n:  # the longest address from the first place of a run on
+        if (text[a] in word or text[a] in "._%+-") and (a == 0 or not (text[a - 1] in word or text[a - 1] in "._%+-")):
+            ends = [b for b in range(a + 1, min(n, a + 60) + 1) if is_email(a, b)]
+            if ends:
+                found.append((a, ends[-1]))
+                a = ends[-1]
+                continue
+        a += 1
+    for a in range(n):
+        parts, at = [], a
+        for _ in range(4):
+            end = digits(at)
+            parts.append(text[at:end])
+            at = end + 1
+            if end >= n or text[end] != ".":
+                break
+        if len(parts) == 4 and all(p and len(p) <= 3 and int(p) < 256 and str(int(p)) == p for p in parts) and (a == 0 or text[a - 1] not in ".0123456789"):
+            end = at - 1
+            if not (end < n and text[end] == "." and end + 1 < n and text[end + 1] in "0123456789"):
+                found.append((a, end))
+        piece, before, after = text[a : a + 11], text[a - 1] if a else " ", text[a + 11 : a + 12]
+        if len(piece) == 11 and piece[3] == piece[6] == "-" and (piece[:3] + piece[4:6] + piece[7:]).isdigit() and before not in "-0123456789" and (not after or after not in "-0123456789"):
+            area = int(piece[:3])
+            if area not in (0, 666) and area < 900 and int(piece[4:6]) and int(piece[7:]):
+                found.append((a, a + 11))
+        piece, after = text[a : a + 10], text[a + 10 : a + 11]
+        if len(piece) == 10 and piece[4] == piece[7] == "-" and (piece[:4] + piece[5:7] + piece[8:]).isdigit() and before not in "/.-0123456789" and (not after or after not in "/-0123456789"):
+            y, m, d = int(piece[:4]), int(piece[5:7]), int(piece[8:])
+            if 1900 <= y < 2100 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]:
+                found.append((a, a + 10))
+    return sorted(found)
+
+
+def test_finds_equal_those_of_an_independent_scanner(spark):
+    rng = random.Random(8)
+    bits = ["a.b@c.de", "x@y", "@", "Jo_9@mail.ex-1.org", "10.0.0.1", "1.2.3.400", "01.2.3.4", "123-45-6789", "666-45-6789", "2021-02-28", "2021-02-30", "1899-12-31", "-", ".", "9", "/", "é", "word", ","]
+    texts = [" ".join("".join(rng.choice(bits) for _ in range(rng.choice((1, 1, 1, 2)))) for _ in range(rng.randrange(9))) for _ in range(1500)]
+    keep = {"email", "ip", "ssn", "date"}
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"key").collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        got = [(s["start"], s["end"]) for s in r["pii_spans"] if s["kind"] in keep]
+        others = [(s["start"], s["end"]) for s in r["pii_spans"] if s["kind"] not in keep]
+        want = [x for x in independent_finds(text) if not any(a < x[1] and x[0] < b for a, b in others)]
+        clear = [x for i, x in enumerate(want) if not any(y[0] < x[1] and x[0] < y[1] for j, y in enumerate(want) if i != j)]
+        assert set(clear) <= set(got) and (len(clear) < len(want) or got == want), text
+        at, out = 0, []  # the text with pseudonyms put in by hand
+        for s in r["pii_spans"]:
+            out += [text[at : s["start"]], s["pseudonym"]]
+            at = s["end"]
+        assert r["text"] == "".join([*out, text[at:]])
+
+
+def test_many_finds_in_one_text_cost_their_number(monkeypatch):
+    monkeypatch.setattr(pii, "FINDERS", tuple((k, p, lambda _, v: "x" * len(v)) for k, p, _ in pii.FINDERS))
+    began = time.perf_counter()
+    assert len(pii.pseudonyms(pii.Permutation(b"k"), " ".join(f"a{i}@b.de 10.0.{i % 256}.1" for i in range(50_000)))) == 100_000
+    assert time.perf_counter() - began < 5
+
+
 # secrets
 
 
@@ -168,6 +250,12 @@ def test_ids_equal_the_tokenizer():
         assert own.ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\r\n" * 1_000_000, "a b" + "\t" * 12_000 + "c"])
+def test_long_white_space(text):
+    ids = packing.ByteBpe(path("byte_bpe_50k.json")).ids(text).tolist()
+    assert ids == tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
 def test_packing_rows(spark):
     exact = tokenizer("byte_bpe_50k.json")
     rows = packing.pack(docs(spark), path("byte_bpe_50k.json")).collect()
@@ -228,6 +316,34 @@ def test_encoding_is_exact(spark):
         assert r["ids"] == ids and r["decoded"] == exact.decode(ids, skip_special_tokens=False)
 
 
+def test_capitals_before_combining_marks():
+    exact, own = tokenizer("word_bpe_49k.json"), bpe.ChunkedBpe(path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    letters = list("HhJjTtWwYyIiKk aZ'.") + [chr(c) for c in (0x300, 0x301, 0x307, 0x308, 0x30A, 0x30C, 0x323, 0x331, 0x345, 0xC5, 0xDF, 0x212A, 0x2126, 0x1100, 0x1161)]
+    texts = [a + chr(c) + "ello " + chr(c) + a for a in string.ascii_letters for c in range(0x300, 0x370)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    got = [ids for at in range(0, len(texts), 500) for ids in own.encode(texts[at : at + 500])]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == exact.encode(text, add_special_tokens=False).ids, text
+
+
+def test_files_of_other_rules_are_encoded_whole():
+    for name in ("byte_bpe_50k.json",):
+        assert not bpe.cuts_at_space(path(name))
+        exact, own = tokenizer(name), bpe.ChunkedBpe(path(name))
+        for text in ("Two  words\n and more", "  x"):
+            ids = exact.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(own.encode([text])[0], "<i4").tolist() == ids and own.decode(ids) == exact.decode(ids, skip_special_tokens=False)
+
+
+def test_shared_chunks_are_encoded_once_and_long_words_are_not_kept():
+    own, rng = bpe.ChunkedBpe(path("word_bpe_49k.json")), random.Random(7)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000))
+    own.encode([f"start {i} {passage} end {i}" for i in range(20)])
+    assert own.seen_chunks > 10 * own.encoded_chunks > 0
+    own.encode(["x" * 100_000])
+    assert max(map(len, [*own.words, *own.chunks])) <= bpe.LONG
+
+
 def test_bpe_rows_and_digest(spark):
     exact = tokenizer("word_bpe_49k.json")
     rows = bpe.digest(docs(spark), path("word_bpe_49k.json")).collect()
