@@ -2,10 +2,14 @@
 
 Fixed patterns find the well-known shapes (assignments to secret-like names, access keys, long
 hexadecimal runs). On top of them the text is lexed as source or configuration: every
-``name <operator> value`` becomes a name-literal pair, whether the name is typed or a subscript and
-the value bracketed, made of adjacent strings or on the next line; names bound to literals earlier in the
-text are propagated into later right-hand sides, string concatenations are joined, and each
-literal is scored by how sensitive its target name is and how random the literal looks.
+``name <operator> value`` becomes a name-literal pair, whether the name is typed, a subscript, an
+option or an XML element and the value bracketed, made of adjacent strings, on the next line or an
+indented block; a pair called ``name`` or ``key`` names the pair called ``value`` after it. Names bound
+to literals earlier in the text are propagated into later right-hand sides, string concatenations are
+joined, and each literal is scored by how sensitive its target name is and how random the literal looks.
+
+Propagated values are kept as references to what they are made of, with character counts worked out
+once, and never spelled out: a value that doubles on every line costs a line's work.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; spans are
 half-open code point ranges, ordered by start, then by the order of ``KINDS``, then by end.
@@ -15,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +40,7 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "authkey": 0.9, "signingkey": 0.9, "encryptionkey": 0.9,
-    "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "key": 0.4, "salt": 0.5, "session": 0.4, "cookie": 0.4,
+    "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "bearer": 0.8, "key": 0.4, "salt": 0.5, "session": 0.4, "cookie": 0.4,
 }
 #: A literal is reported when name weight times literal strength reaches this.
 SCORE_LEAST = 0.5
@@ -42,6 +48,8 @@ SCORE_LEAST = 0.5
 PHRASE_WEIGHT = 0.9
 #: Literals of this many characters and more count as long in full.
 STRONG_LENGTH = 16
+#: Character counts above this are scaled down together; only their shares count from there on.
+MOST_COUNT = 1e12
 
 # What makes up an assignment. Runs are possessive, so names and strings of any length cost their size.
 # Types may have brackets inside brackets; what they hold ends at a colon, so no text is read over and over.
@@ -51,10 +59,17 @@ for _ in range(4):
     NESTED = rf"{INNER}(?:[\[<]{NESTED}[\]>]{INNER})*+"
 TYPE = rf"[&*]?(?:'\w+\x20)?[A-Za-z_][\w.]*+(?:[\[<]{NESTED}[\]>])*+[?!]?"
 PAIR = re.compile(
-    r"(?<![A-Za-z0-9_.\-])(?P<q>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"
+    r"(?<![A-Za-z0-9_.\-])(?P<flag>--)?(?P<q>[\"']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"
     r"(?P<subs>(?:[\x20\t]*+\[\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|[A-Za-z0-9_.\-]*+)\s*+\])*+)[\x20\t]*+"
-    rf"(?:[?!]?:[\x20\t]*+(?P<type>{TYPE}(?:[\x20\t]*+\|[\x20\t]*+{TYPE})*+)(?:[\x20\t]++=(?![=>])|=(?=[\x20\t]*+[\"'`(]))|:=|=>|=(?!=)|:(?![:/]))"
+    rf"(?:[?!]?:[\x20\t]*+(?P<type>{TYPE}(?:[\x20\t]*+\|[\x20\t]*+{TYPE})*+)(?:[\x20\t]++=(?![=>])|=(?=[\x20\t]*+[\"'`(]))|:=|=>|=(?!=)|:(?![:/])|(?(flag)(?<=\x20)(?=[\"'A-Za-z0-9])|(?!)))"
 )
+# <name ...>value</name>, and what names an element beside its tag.
+ELEMENT = re.compile(r"<(?P<tag>[A-Za-z_][\w.\-]*+)(?P<more>(?:\s[^<>]*+)?)(?<!/)>\s*+(?:<!\[CDATA\[(?P<data>[^\]<]*+)\]\]>\s*+|(?P<text>[^<>]++))</(?P=tag)\s*>")
+LABEL = re.compile(r"""\b(?:name|key|id)\s*+=\s*+(?:"([^"<>]*+)"|'([^'<>]*+)')""")
+# The head of an indented block, and one of its lines.
+BLOCK, BLOCK_LINE = re.compile(r"[\x20\t]*+[|>][+\-]?[0-9]?[\x20\t\r]*+\n"), re.compile(r"([\x20\t]*+)([^\n]*+)(?:\n|\Z)")
+# Schemes that stand before a credential.
+SCHEME = re.compile(r"(?:Bearer|Basic|Token|bearer|basic|token)\x20++(?=[^\s\"']{8})")
 SUBSCRIPT = re.compile(r"\[\s*(?:\"([^\"\n]*)\"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.\-]*))\s*\]")
 STRING = re.compile(
     r"(?:[rRbBuUfF]{1,2}(?=[\"']))?(?:\"\"\"((?:(?!\"\"\").)*+)\"\"\"|\'\'\'((?:(?!\'\'\').)*+)\'\'\'"
@@ -63,8 +78,8 @@ STRING = re.compile(
 )
 BARE = re.compile(r"[A-Za-z0-9+/_.=\-$@%!#^&*~]+")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-# White space inside a line (a backslash carries it on), over lines, and over lines with comments.
-INLINE, LINES, INSIDE = re.compile(r"(?:[\x20\t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n|#[^\n]*+|//[^\n]*+)*+")
+# White space inside a line (a backslash carries it on), and over lines.
+INLINE, LINES = re.compile(r"(?:[\x20\t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n)*+")
 #: What follows a key, and the end of a line.
 KEY_END, LINE_END = re.compile(r"[\x20\t]*+(?:[:=]|\[)"), re.compile(r"[\x20\t\r]*+(?:\n|\Z)")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
@@ -78,16 +93,59 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in joined), default=0.0)
 
 
-def strength(literal: str, spaces: bool = False) -> float:
-    """0 to 1: length, entropy of characters and mixture of character classes of a literal.
+class Value:
+    """What a name is bound to: literals (start, end) of the text and other values, in order."""
+
+    __slots__ = ("terms", "quoted", "counted", "reported")
+
+    def __init__(self, terms: list, quoted: bool):
+        self.terms, self.quoted = terms, quoted
+        self.counted: dict[str, float] | None = None  # characters, once asked for
+        self.reported = 0.0  # best score its literals were found with
+
+    def counts(self, text: str) -> dict[str, float]:
+        """How often each character is in the value, in proportion beyond ``MOST_COUNT``."""
+        todo = [self]
+        while todo:
+            x = todo[-1]
+            below = [] if x.counted is not None else [t for t in x.terms if isinstance(t, Value) and t.counted is None]
+            if below:
+                todo += below
+                continue
+            todo.pop()
+            if x.counted is None:
+                total: Counter = Counter()
+                for t in x.terms:
+                    total.update(t.counted if isinstance(t, Value) else text[t[0] : t[1]])
+                n = sum(total.values())
+                x.counted = {c: k * (MOST_COUNT / n) for c, k in total.items()} if n > MOST_COUNT else total
+        return self.counted
+
+    def report(self, name: str, score: float, found: dict[tuple[int, int], tuple[str, float]]) -> None:
+        """Put all literals of the value into ``found``, where this score is the best so far."""
+        todo = [self]
+        while todo:
+            x = todo.pop()
+            if x.reported >= score:
+                continue
+            x.reported = score
+            for t in x.terms:
+                if isinstance(t, Value):
+                    todo.append(t)
+                elif t[0] < t[1] and score > found.get(t, ("", 0.0))[1]:
+                    found[t] = (name, score)
+
+
+def strength(counts: dict[str, float], spaces: bool = False) -> float:
+    """0 to 1: length, entropy of characters and mixture of character classes of a literal, from its character counts.
 
     Literals with white space count only where ``spaces`` says so.
     """
-    if len(literal) < 8 or (not spaces and any(c.isspace() for c in literal)):
+    n = sum(counts.values())
+    if n < 8 or (not spaces and any(c.isspace() for c in counts)):
         return 0.0
-    n = len(literal)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
-    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values() if k / n > 0)
+    classes = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, n / STRONG_LENGTH) * min(1.0, entropy / 3.0) * (0.4 if classes == 1 else 1.0)
 
 
@@ -103,7 +161,39 @@ def base_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     return found
 
 
-def value_terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
+def block(text: str, start: int, at: int) -> tuple[int, int] | None:
+    """Where the indented block lies that is the value of a key at ``start``, if there is one."""
+    head = BLOCK.match(text, at)
+    if not head:
+        return None
+    line = text.rfind("\n", 0, start) + 1
+    indent = start - line if not text[line:start].strip(" \t-") else -1
+    first = end = at = head.end()
+    while at < len(text):
+        m = BLOCK_LINE.match(text, at)
+        if m[2].strip():
+            if indent < 0 or len(m[1]) <= indent:
+                break
+            if first == end:
+                first = m.start(2)
+            end = m.end(2)
+        at = m.end()
+    return (first, end) if first < end else None
+
+
+def over_comments(text: str, at: int, ends: list[int]) -> int:
+    """Where white space and comments from ``at`` on end. ``ends`` keeps the last line end looked up, so that a long line is read once."""
+    while True:
+        at = LINES.match(text, at).end()
+        if not text.startswith(("#", "//"), at):
+            return at
+        if not ends[0] <= at <= ends[1]:
+            end = text.find("\n", at)
+            ends[:] = at, len(text) if end < 0 else end
+        at = ends[1]
+
+
+def value_terms(text: str, at: int, ends: list[int]) -> tuple[list[tuple[str, int, int, bool]], int]:
     """Terms (text, start, end, whether quoted) of the value that begins after an operator, and where it ends.
 
     Terms are joined by ``+`` or stand side by side as strings, in round brackets also on further
@@ -112,10 +202,8 @@ def value_terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], i
     terms: list[tuple[str, int, int, bool]] = []
     depth, end, wanted = 0, at, True
     while True:
-        i = (INSIDE if depth else INLINE).match(text, end).end()
-        if wanted and not depth:
-            i = LINES.match(text, end).end()
-        moved = "\n" in text[end:i]
+        i = over_comments(text, end, ends) if depth else (LINES if wanted else INLINE).match(text, end).end()
+        moved = not depth and "\n" in text[end:i]
         if i >= len(text):
             break
         if wanted and text[i] == "(":
@@ -128,7 +216,12 @@ def value_terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], i
             if (moved and not depth or not wanted) and KEY_END.match(text, m.end()):
                 break
             k = m.lastindex
-            terms.append((m[k], m.start(k), m.end(k), True))
+            scheme = SCHEME.match(text, m.start(k), m.end(k))
+            start = scheme.end() if scheme else m.start(k)
+            terms.append((text[start : m.end(k)], start, m.end(k), True))
+            wanted, end = False, m.end()
+        elif wanted and not terms and not depth and (scheme := SCHEME.match(text, i)) and (m := BARE.match(text, scheme.end())):
+            terms.append((m[0], m.start(), m.end(), False))
             wanted, end = False, m.end()
         elif wanted and (m := (NAME if terms or depth else BARE).match(text, i)):
             if moved and not depth and not terms and not (LINE_END.match(text, m.end()) and not m[0].endswith("=")):
@@ -142,35 +235,53 @@ def value_terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], i
 
 def literal_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     """Literals that reach a sensitive name directly, by concatenation or through constants."""
-    if "=" not in text and ":" not in text:
+    if not any(sign in text for sign in ("=", ":", "--", "</")):
         return []
-    bound: dict[str, tuple[str, list[tuple[int, int]], bool]] = {}
+    bound: dict[str, Value] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    at = 0
+
+    def judge(name: str, value: Value) -> None:
+        weight = name_weight(name)
+        score = weight and weight * strength(value.counts(text), value.quoted and weight >= PHRASE_WEIGHT)
+        if score >= SCORE_LEAST:
+            value.report(name, score, found)
+
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            part = "data" if m["data"] is not None else "text"
+            start, end = m.span(part)
+            end = start + len(text[start:end].rstrip())
+            label = LABEL.search(m["more"])
+            names = [m["tag"], *(x for x in (label.groups() if label else ()) if x)]
+            judge(max(names, key=name_weight), Value([(start, end)], True))
+    at, label, ends = 0, "", [0, -1]
     while m := PAIR.search(text, at):
-        terms, at = value_terms(text, m.end())
+        inside = block(text, m.start(), m.end()) if text[m.end() - 1] == ":" else None
+        if inside:
+            terms, at = [(text[inside[0] : inside[1]], *inside, True)], m.end()
+        else:
+            terms, at = value_terms(text, m.end(), ends)
         if not terms:
             at = m.end()
             continue
-        value, places, quoted = "", [], True
+        made, quoted = [], True
         for piece, start, end, string in terms:
             if not string and piece in bound:
-                value, places, quoted = value + bound[piece][0], places + bound[piece][1], quoted and bound[piece][2]
-            elif not string and len(terms) > 1 and IDENTIFIER.match(piece):
-                continue
-            else:
-                value, places, quoted = value + piece, [*places, (start, end)], quoted and string
+                made.append(bound[piece])
+                quoted = quoted and bound[piece].quoted
+            elif string or len(terms) == 1 or not IDENTIFIER.match(piece):
+                made.append((start, end))
+                quoted = quoted and string
+        value = made[0] if len(made) == 1 and isinstance(made[0], Value) else Value(made, quoted)
         subscripts = SUBSCRIPT.findall(m["subs"])
         name = next((x for x in subscripts[-1] if x), m["name"]) if subscripts else m["name"]
-        bound[m["name"] + m["subs"]] = (value, places, quoted)
+        bound[m["name"] + m["subs"]] = value
         if m["type"] and name_weight(m["type"]) > name_weight(name):  # a label before an assignment looks like a typed name
             name = m["type"]
-        weight = name_weight(name)
-        score = weight and weight * strength(value, quoted and weight >= PHRASE_WEIGHT)
-        if score >= SCORE_LEAST:
-            for p in places:
-                if p[0] < p[1] and score > found.get(p, ("", 0.0))[1]:
-                    found[p] = (name, score)
+        if name.lower() == "value" and label:
+            name = label
+        label = terms[0][0] if name.lower() in ("name", "key") and len(terms) == 1 else ""
+        judge(name, value)
     return [("literal", a, b, name, score) for (a, b), (name, score) in found.items()]
 
 
@@ -178,8 +289,10 @@ def spans(text: str | None) -> list[tuple[str, int, int, str, float]]:
     """All spans of a text; literals inside a base span are left to it."""
     if not text:
         return []
-    base = base_spans(text)
-    more = [x for x in literal_spans(text) if not any(b[1] <= x[1] and x[2] <= b[2] for b in base)]
+    base = sorted(base_spans(text), key=lambda x: x[1])
+    starts, reach = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
+    within = lambda x: (k := bisect_right(starts, x[1])) and x[2] <= reach[k - 1]
+    more = [x for x in literal_spans(text) if not within(x)]
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
