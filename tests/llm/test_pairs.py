@@ -136,12 +136,19 @@ def vector_brute_force(rows):
     return {i: (int(k), groups[i]) for i, k in zip(ids, s.sum(1), strict=True)}
 
 
-@pytest.mark.parametrize("kind,seed,least", [("double", 1, 512), ("double", 2, 16), ("double", 3, 40)])
-def test_vectors_equal_brute_force(spark, monkeypatch, kind, seed, least):
-    monkeypatch.setattr(vectors, "SLAB_LEAST", least)
-    monkeypatch.setattr(vectors, "SLABS", 9)
+def single(v):
+    """Components as an array<float> column keeps them."""
+    return None if v is None else [None if x is None else float(np.float32(x)) for x in v]
+
+
+@pytest.mark.parametrize("kind,seed,cell", [("double", 1, 1 << 20), ("float", 2, 1 << 20), ("float", 3, 24 * 40), ("double", 4, 24 * 10), ("float", 5, 24)])
+def test_vectors_equal_brute_force(spark, monkeypatch, kind, seed, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "LEAF", 5)
     good, bad = vector_rows(seed)
-    df = spark.createDataFrame([(i, v, 0, 1) for i, v in good + bad], f"vec_id long, embedding array<{kind}>, label int, links int")
+    if kind == "float":
+        good = [(i, single(v)) for i, v in good]
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in good + bad], f"vec_id long, embedding array<{kind}>, label int, links int").repartition(3)
     want = vector_brute_force(good) | {i: (0, i) for i, _ in bad}
     got = vectors.near_vectors(df).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
@@ -149,6 +156,54 @@ def test_vectors_equal_brute_force(spark, monkeypatch, kind, seed, least):
     assert sum(k for k, _ in want.values()) > 50
 
 
+@pytest.mark.parametrize("cell", [1 << 20, 300])
+def test_vectors_of_every_length_are_joined(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    rows, want = [], {}
+    for k, width in enumerate((1, 2, 3, 24, 33)):
+        good = [(i + 1000 * k, single(v)) for i, v in vector_rows(k, n=60, width=width)[0]]
+        rows += good
+        want |= vector_brute_force(good)
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+def test_vectors_whose_coordinates_tie(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 16 * 50)
+    rng = np.random.RandomState(4)
+    x = rng.choice([-1.0, 1.0], (300, 16))
+    x[100:200] = x[:100]
+    x[200:, 3:] = x[:100, 3:]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == vector_brute_force(rows)
+    t = vectors.rotate(x)[:, :4]
+    home = vectors.Cells(t, 4).home(t, np.arange(300))
+    assert np.bincount(home, minlength=16).max() <= 60
+
+
+def test_cells_reach_whatever_is_near():
+    rng = np.random.RandomState(5)
+    for x in (rng.normal(size=(400, 6)), rng.choice([0.0, 1.0], (400, 6)), np.zeros((400, 6))):
+        cells = vectors.Cells(x[:100], 7)
+        home = cells.home(x, np.arange(400))
+        row, cell = cells.reached(x, 0.5)
+        reached = set(zip(row.tolist(), cell.tolist(), strict=True))
+        assert len(reached) == len(row)
+        near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.5
+        assert all((i, home[k]) in reached for i, k in zip(*np.nonzero(near), strict=True))
+        for y in (None, x[200:]):
+            a = x[:200]
+            got = {(int(i[p]), int(k[q])) for i, k, near_ in vectors.meetings(a, y, 0.5) for p, q in zip(*np.nonzero(near_), strict=True)}
+            d = ((a[:, None] - (a if y is None else y)[None]) ** 2).sum(2)
+            want = {(int(p), int(q)) for p, q in zip(*np.nonzero(d <= 0.5 - 1e-4), strict=True)}
+            some = {(int(p), int(q)) for p, q in zip(*np.nonzero(d <= 0.5 + 1e-4), strict=True)}
+            if y is None:
+                assert not any((q, p) in got for p, q in got)
+                got, want = got | {(q, p) for p, q in got}, {(p, q) for p, q in want if p != q}
+            assert want <= got <= some
+
+
 def test_rotation_keeps_lengths():
     x = np.random.RandomState(1).normal(size=(20, 13))
     t = vectors.rotate(x)
