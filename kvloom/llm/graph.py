@@ -41,7 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e = cut(e, "edges")
     if e.count() <= EDGES:
-        return e.coalesce(1).mapInArrow(in_memory, NODES)
+        found = cut(e.coalesce(1).mapInArrow(in_memory, NODES), "components")
+        drop_path(e.sparkSession, e)
+        return found
     last = None
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

@@ -22,12 +22,13 @@ component.
    allow. Sets inside one group need no comparing, so a large group of copies costs no more than
    its size. Tasks hold at most two blocks.
 
-Tables between steps lie in the shared folder. Only groups (document, component) are kept, never
-pairs.
+Hash ranges follow a count of the input, so what a range or a task holds does not grow with it.
+Tables between steps lie in the shared folder and go once they are read. Only groups (document,
+component) are kept, never pairs.
 
 Defined results: null and empty texts have no shingles and link with nothing; equal texts link; rows
-that repeat a doc_id give a row each, with the component of the id; columns but the key and the text
-are not read.
+that repeat a doc_id give a row each, all with the component of the id, which the links of any of its
+texts make; columns but the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -41,17 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from kvloom.llm.common import bounded, cut, tidy, words
+from kvloom.llm.common import bounded, cut, drop_path, tidy, words
 from kvloom.llm.graph import Sets, components
 from kvloom.llm.trie import similar
 
 WORDS, PERCENT = 5, 75
-#: Shingles and documents of a batch at most (a longer text is a batch of its own).
-BATCH_SHINGLES, BATCH_DOCS = 1 << 19, 60_000
+#: Shingles and documents of a batch at most (a longer text is a batch of its own); with many ranges, shingles of a batch to a range.
+BATCH_SHINGLES, BATCH_DOCS, BATCH_MOST, TO_RANGE = 1 << 19, 60_000, 1 << 21, 16
+#: Shingles of a hash range aimed at, and the bytes of text that a shingle takes at least on the mean.
+RANGE_SHINGLES, TEXT_BYTES = 1 << 22, 5
 #: Documents of a batch with one shingle from which the shingle goes as a counted entry.
 HOT = 64
 #: Sets of a block of a large family, sets that stand for its largest group, and sets of small families to a task.
-BLOCK, PIVOTS, TASK_SETS = 2000, 200, 4000
+BLOCK, PIVOTS, TASK_SETS = 500, 100, 2000
 #: Word hashes kept by a task, and rows turned to Python objects at once.
 KEPT_WORDS, ROWS = 200_000, 500
 #: Document number of a counted entry.
@@ -99,7 +102,10 @@ def spread(sets_of, ranges: int):
     """Rows (range, batch, kind, data): kind 0 a batch's documents, 1 its shingles of a range, 2 documents of counted shingles."""
     import pickle
 
+    import xxhash
+
     step = (1 << 48) // ranges + 1
+    most = min(BATCH_MOST, max(BATCH_SHINGLES, TO_RANGE * ranges)) if BATCH_SHINGLES < BATCH_MOST else BATCH_SHINGLES
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -109,7 +115,8 @@ def spread(sets_of, ranges: int):
 
         def emit():
             nonlocal number, size
-            rows = [(number % ranges, number, 0, pickle.dumps(docs))]
+            home = xxhash.xxh3_64_intdigest(number.to_bytes(8, "little")) % ranges
+            rows = [(home, number, 0, pickle.dumps(docs))]
             h = np.concatenate(held) >> np.uint64(16)
             o = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
             order = np.argsort(h, kind="stable")
@@ -119,7 +126,7 @@ def spread(sets_of, ranges: int):
             hot = count >= HOT
             if hot.any():
                 lists = [(int(h[a]), o[a : a + c]) for a, c in zip(first[hot].tolist(), count[hot].tolist(), strict=True)]
-                rows.append((number % ranges, number, 2, pickle.dumps(lists)))
+                rows.append((home, number, 2, pickle.dumps(lists)))
                 keep = np.repeat(~hot, count)
                 single = np.repeat(hot, count) & np.isin(np.arange(len(h)), first)
                 o = np.where(single, np.uint16(COUNTED), o)
@@ -138,7 +145,7 @@ def spread(sets_of, ranges: int):
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], names=["range", "batch", "kind", "data"])
 
         for doc, n, digest, tokens in sets_of(batches):
-            if docs and (size + len(tokens) > BATCH_SHINGLES or len(docs) >= BATCH_DOCS):
+            if docs and (size + len(tokens) > most or len(docs) >= BATCH_DOCS):
                 yield emit()
             docs.append((doc, n, digest))
             held.append(tokens)
@@ -224,11 +231,15 @@ def gather(percent: int):
     return run
 
 
-def shared_tokens(df: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
+def ranges_for(df: DataFrame, shingles) -> int:
+    """Hash ranges: some for each shuffle partition, and as many as hold the shingles, of which column ``shingles`` is each row's number or a bound."""
+    total = df.agg(F.coalesce(F.sum(shingles), F.lit(0)).cast("long").alias("n")).first()["n"]
+    return max(4 * max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // RANGE_SHINGLES))
+
+
+def shared_tokens(df: DataFrame, sets_of, percent: int, name: str, ranges: int) -> DataFrame:
     """``SETS`` rows of all documents; tokens are the shared ones, null where no link is possible."""
-    spark = df.sparkSession
-    bounded(spark)
-    ranges = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounded(df.sparkSession)
     asked = df.mapInArrow(spread(sets_of, ranges), StructType([StructField("range", IntegerType()), StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("data", BinaryType())]))
     answered = asked.groupBy("range").applyInArrow(answer, StructType([StructField("batch", LongType()), StructField("kind", IntegerType()), StructField("data", BinaryType())]))
     return cut(answered.groupBy("batch").applyInArrow(gather(percent), SETS), name)
@@ -308,7 +319,10 @@ def families(sets: DataFrame, percent: int) -> DataFrame:
     held = cut(sets.mapInArrow(prefixes(percent), StructType([StructField("token", LongType()), StructField("doc_id", LongType())])), "prefixes")
     least = cut(held.groupBy("token").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("token", "first"), "prefix-stars")
     stars = held.join(least, "token").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    return components(stars)
+    found = components(stars)
+    for used in (held, least):
+        drop_path(sets.sparkSession, used)
+    return found
 
 
 JOINED = ("t1", "t2", "t3", "t4")
@@ -333,12 +347,22 @@ def in_families(sets: DataFrame, percent: int) -> DataFrame:
     about = cut(sizes.join(totals, "family").select("family", "band", "total", F.ceil(F.col("k") / BLOCK).alias("blocks")), "family-blocks")
     sets = cut(sets.join(about, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")), "family-sets")
     count = sets.where(F.col("total") <= BLOCK).count()
-    small = sets.where(F.col("total") <= BLOCK).select(*task(0, 0, F.pmod(F.xxhash64("family"), F.lit(max(1, -(-count // TASK_SETS)))), 0), F.col("family").alias("part"), "doc_id", "n", "tokens", F.lit(None).cast("long").alias("label"), F.lit(True).alias("probe"))
+    # small families many to a task, but to as many tasks as there are shuffle partitions
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_SETS))
+    small = sets.where(F.col("total") <= BLOCK).select(*task(0, 0, F.pmod(F.xxhash64("family"), F.lit(tasks)), 0), F.col("family").alias("part"), "doc_id", "n", "tokens", F.lit(None).cast("long").alias("label"), F.lit(True).alias("probe"))
     large = sets.where(F.col("total") > BLOCK)
     alone = large.select(*task(1, F.col("family"), F.col("band"), F.col("block")), F.col("family").alias("part"), "doc_id", "n", "tokens", F.lit(None).cast("long").alias("label"), F.lit(True).alias("probe"))
     links = joined(small.unionByName(alone), percent, "links").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    if large.isEmpty():
-        return links
+    made = [about, sets]
+    if not large.isEmpty():
+        links = across_blocks(large, about, links, percent, made)
+    for used in made:
+        drop_path(sets.sparkSession, used)
+    return links
+
+
+def across_blocks(large: DataFrame, about: DataFrame, links: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
+    """``links`` with those between blocks of the large families; tables that nothing needs afterwards are put into ``made``."""
     blocks = about.where(F.col("total") > BLOCK).select("family", F.col("band").alias("to_band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to_block"))
 
     def labelled() -> tuple[DataFrame, DataFrame]:
@@ -349,6 +373,7 @@ def in_families(sets: DataFrame, percent: int) -> DataFrame:
         counts = marked.groupBy("family", "label").agg(F.count("*").alias("k"))
         main = counts.groupBy("family").agg(F.max(F.struct("k", F.negative("label").alias("l"))).alias("m"), F.sum("k").alias("all"))
         main = cut(main.select("family", F.negative("m.l").alias("main"), F.col("m.k").alias("main_k"), (F.col("all") - F.col("m.k")).alias("minor_k")), "main-groups")
+        made.extend((marked, main))
         return marked.join(main, "family"), main
 
     near = F.abs(F.col("to_band") - F.col("band")) <= 1
@@ -373,16 +398,26 @@ def in_families(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    every = shared_tokens(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), text_sets(n_words), percent, "shingles")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    every = shared_tokens(texts, text_sets(n_words), percent, "shingles", ranges_for(texts, F.octet_length("text") / TEXT_BYTES))
     live = every.where("tokens IS NOT NULL AND doc_id IS NOT NULL")
     single = live.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("r")).select("r.doc_id", "r.n", "digest", "r.tokens")
     single = cut(single, "single")
-    sets = shared_tokens(single, kept_sets, percent, "shared").where("tokens IS NOT NULL")
+    shared = shared_tokens(single, kept_sets, percent, "shared", ranges_for(single, F.octet_length("tokens") / 8))
+    sets = shared.where("tokens IS NOT NULL")
     family = families(sets, percent)
     grouped = sets.join(family, sets["doc_id"] == family["node"]).select("doc_id", "n", "tokens", F.col("component").alias("family"))
-    # a doc_id that several rows carry stands for all of them
-    groups = components(in_families(grouped, percent))
+    links = in_families(grouped, percent)
+    # an id that several rows carry is one document: it joins the classes of its texts
+    repeated = cut(every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated-ids")
+    carried = every.where("tokens IS NOT NULL").select("doc_id", "digest").join(repeated, "doc_id").join(single.select("digest", F.col("doc_id").alias("first")), "digest")
+    groups = components(links.unionByName(carried.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
     about = single.select("digest", "doc_id").join(groups, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     about = cut(about, "classes")
-    out = every.select("doc_id", "n", F.when(F.col("tokens").isNotNull(), F.col("digest")).alias("digest")).join(about, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # texts of a repeated id that link with nothing have the component of the id all the same
+    by_id = cut(repeated.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("of_id")), "repeated-classes")
+    for used in (single, shared, family, repeated, groups):
+        drop_path(spark, used)
+    out = every.select("doc_id", "n", F.when(F.col("tokens").isNotNull(), F.col("digest")).alias("digest")).join(about, "digest", "left").join(by_id, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "of_id", "doc_id").alias("component_id"))
