@@ -100,6 +100,24 @@ def test_join_edge_cases(spark):
     assert shingles.near_duplicates(empty(spark)).count() == 0
 
 
+def test_an_id_of_several_texts_is_one_document(spark):
+    a, b, c = ("one two three four five six seven eight nine ten " + x for x in ("alpha", "beta", "gamma delta epsilon zeta eta theta iota kappa"))
+    rows = [(3, a), (5, a), (5, c), (9, c), (7, "alone here"), (5, "nothing like it"), (5, ""), (8, b), (8, b), (6, "x"), (6, None)]
+    got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, brute_force(rows)[i]) for i, _ in rows)
+    assert brute_force(rows)[9] == 3
+
+
+@pytest.mark.parametrize("size", [1, 50])
+def test_many_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(shingles, "RANGE_SHINGLES", size)
+    monkeypatch.setattr(shingles, "TASK_SETS", 5)
+    rows = near_copies(11, bases=4, copies=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shingles.ranges_for(df, shingles.F.octet_length("text") / shingles.TEXT_BYTES) >= 64
+    assert {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(df).collect()} == brute_force(rows)
+
+
 def test_trie_prunes_and_finds():
     rng = random.Random(3)
     tokens = [sorted(rng.sample(range(30), rng.randrange(1, 25))) for _ in range(80)]
