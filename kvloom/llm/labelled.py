@@ -21,7 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, kept_ba
 
     The rows with the least hash of their id are taken, one a document, so the choice does not
     depend on how the tables are laid out; rows without a label of 0 or 1 are left out. The
-    chosen ids are at most ``rows``, which is why they are broadcast.
+    chosen ids are at most ``rows``, which is why they are broadcast. Where documents repeat an
+    id, the least of its texts stands for it, so no more than ``rows`` come back.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -31,4 +32,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, kept_ba
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -35,11 +35,18 @@ SCALE = 6.0
 WORDS_KEPT = 150_000
 
 RUN = re.compile(r"(.)\1+")
+SIGNS = ".,;:!?*#$%&|"
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def shape(word: str) -> str:
     """Word with capitals as A, small letters as a, digits as 9 and runs as one."""
+    bare = word.rstrip(SIGNS)
+    if bare.isalpha():  # most words: small letters but for the first, with signs after them
+        if bare.islower():
+            return "a" + RUN.sub(r"\1", word[len(bare) :])
+        if bare[0].isupper() and bare[1:].islower():
+            return "Aa" + RUN.sub(r"\1", word[len(bare) :])
     return RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
@@ -53,7 +60,7 @@ class Features:
         self.known: dict[str, tuple[int, int]] = {}
 
     def word(self, w: str) -> tuple[int, int]:
-        made = (self.hash(w.lower().strip(".,;:!?*#$%&|")), self.hash(shape(w), 1))
+        made = (self.hash(w.lower().strip(SIGNS)), self.hash(shape(w), 1))
         if len(self.known) >= WORDS_KEPT:
             self.known.clear()
         self.known[w] = made

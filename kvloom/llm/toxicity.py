@@ -6,7 +6,9 @@ capitals, punctuation, repeated signs and obfuscation (digits or signs inside wo
 letters, words that meet the lexicon only once such disguise is undone).
 
 Lexicon, trees and calibration are fitted on a bounded sample (``train_rows``) of labelled rows
-that are not held out. Scores and features cover whole texts.
+that are not held out. The calibration sees margins of rows that neither the trees nor the lexicon
+behind them were learned from: both are learned once more without each fold. Scores and features
+cover whole texts.
 
 Defined results: null and empty texts have zero features and get that leaf's score; repeated rows
 score alike; without labelled rows of both classes every score is the mean label (0 without any).
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField
 
 from kvloom.llm import labelled
-from kvloom.llm.common import append
+from kvloom.llm.common import append, cut, drop_path
 
 # The split that is kept back, and the threshold.
 MODULUS, KEPT_BACK, THRESHOLD = 4, 2, 0.3
@@ -80,17 +82,45 @@ class Dense:
 
     def __init__(self, learned: dict[str, float]):
         self.learned = learned
+        # learned stems by their beginning, so that most words need one look-up
+        self.stems: dict[str, list[tuple[str, float]]] = {}
+        for entry, weight in learned.items():
+            if entry.endswith("*"):
+                self.stems.setdefault(entry[: STEMS.start], []).append((entry[:-1], weight))
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, len(WORD_FEATURES)), np.float32)
 
+    def stem(self, p: str) -> float:
+        near = self.stems.get(p[: STEMS.start])
+        return max((x for s, x in near if len(s) < len(p) and p.startswith(s)), default=0.0) / 10 if near else 0.0
+
     def word(self, w: str) -> int:
         at = len(self.index)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        bare = w.strip(EDGE)
+        if bare.isalpha() and (bare.islower() or (bare[0].isupper() and bare[1:].islower())) and (p := bare.lower()).isalpha() and not STRETCH.search(p):
+            # most words: letters, small but for the first, with signs before and after them
+            row = self.rows[at]
+            row[:] = 0
+            if p in INSULTS:
+                row[0] = 1
+            if p in self.learned:
+                row[1] = self.learned[p] / 10
+            if p[: STEMS.start] in self.stems:
+                row[3] = self.stem(p)
+            if p in SECOND:
+                row[4] = 1
+            if not bare.islower():
+                row[5] = 1 / len(w)
+            if len(bare) < len(w):
+                row[6] = (len(w) - len(bare)) / len(w)
+            self.index[w] = at
+            return at
         p = plain(w)
         letters = sum(c.isalpha() for c in w)
         fixed, learned = p in INSULTS, self.learned.get(p, 0.0) / 10
-        stem = max((self.learned.get(p[:n] + "*", 0.0) for n in STEMS if n < len(p)), default=0.0) / 10
+        stem = self.stem(p)
         disguised = False
         if not (fixed or learned) and letters >= 2 and not p.isalpha() or STRETCH.search(p):
             bare = undo(p)
@@ -195,19 +225,24 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Learned lexicon, trees and calibration."""
+    """Learned lexicon, trees and calibration.
+
+    ``views`` are the rows' features: first those by the whole lexicon, then those by the lexicon
+    learned without each fold.
+    """
 
-    def __init__(self, learned: dict[str, float], x: np.ndarray, y: np.ndarray):
+    def __init__(self, learned: dict[str, float], views: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
         self.learned, self.trees = learned, None
         self.mean = float(y.mean()) if len(y) else 0.0
         if len(y) < 4 * LEAF_ROWS or not 0 < self.mean < 1:
             return
-        fold = np.arange(len(y)) % FOLDS
         margins = np.empty(len(y))
         for k in range(FOLDS):
-            margins[fold == k] = Trees(x[fold != k], y[fold != k]).margin(x[fold == k])
+            out, x = fold == k, views[k + 1]
+            if out.any():
+                margins[out] = Trees(x[~out], y[~out]).margin(x[out])
         self.centres, self.means = isotonic(margins, y)
-        self.trees = Trees(x, y)
+        self.trees = Trees(views[0], y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None or not len(x):
@@ -217,9 +252,8 @@ class Model:
         return np.clip(0.999 * np.interp(m, self.centres, self.means) + 0.001 / (1 + np.exp(-np.clip(m, -35, 35))), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model learned from a bounded sample of the labelled rows that are not held out."""
-    chosen = labelled.sample(docs, labels, "toxic", MODULUS, KEPT_BACK, train_rows)
+def lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Evidence for the words and stems of the lexicon: of all rows (text, label, fold), then without each fold."""
 
     def words_of():
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -227,33 +261,58 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
         return step
 
-    sets = append(chosen, [StructField("words", ArrayType(StringType()))], words_of)
-    totals = chosen.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
-    n1, n0 = int(totals["n1"]), int(totals["n"]) - int(totals["n1"])
-    a, c, share = F.col("a"), F.col("c"), max(n1, 1) / max(n1 + n0, 1)
-    part = lambda x, p: F.when(x > 0, x * F.log(x / ((a + c) * p))).otherwise(0.0)
-    z = F.sqrt(2 * F.greatest(part(a, share) + part(c, max(1 - share, 1e-9)), F.lit(0.0)))
-    counted = sets.select(F.explode("words").alias("word"), "label").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("c"))
-    counted = counted.where((F.col("a") >= LEXICON_ROWS) & (a > (a + c) * share)).withColumn("z", z)
+    sets = append(rows, [StructField("words", ArrayType(StringType()))], words_of)
+    label, fold = F.col("label"), F.col("fold")
+    seen = range(FOLDS)
+    totals = {r["fold"]: (int(r["n1"]), int(r["n"])) for r in rows.groupBy("fold").agg(F.sum("label").alias("n1"), F.count("*").alias("n")).collect()}
+    counts = sets.select(F.explode("words").alias("word"), "label", "fold").groupBy("word").agg(
+        F.sum("label").alias("a"), F.sum(1 - label).alias("c"), *[F.sum(F.when(fold == k, label).otherwise(0)).alias(f"a{k}") for k in seen], *[F.sum(F.when(fold == k, 1 - label).otherwise(0)).alias(f"c{k}") for k in seen]
+    )
+    counts = cut(counts.where(F.col("a") >= LEXICON_ROWS), "lexicon")
     stem = F.contains("word", F.lit("*"))
-    top = counted.where(F.col("z") >= F.when(stem, STEM_Z).otherwise(LEXICON_Z)).orderBy(F.desc("z"), "word").limit(LEXICON_SIZE)
-    learned: dict[str, float] = {}
-    for r in top.collect():
-        word = r["word"][:-1] if "*" in r["word"] else r["word"]
-        learned[word] = max(learned.get(word, 0.0), r["z"])
+    out = []
+    for left_out in (None, *seen):
+        kept = [v for k, v in totals.items() if k != left_out]
+        n1 = sum(x for x, _ in kept)
+        n0 = sum(n for _, n in kept) - n1
+        a, c = F.col("a"), F.col("c")
+        if left_out is not None:
+            a, c = a - F.col(f"a{left_out}"), c - F.col(f"c{left_out}")
+        share = max(n1, 1) / max(n1 + n0, 1)
+        part = lambda x, p, a=a, c=c: F.when(x > 0, x * F.log(x / ((a + c) * p))).otherwise(0.0)
+        z = F.sqrt(2 * F.greatest(part(a, share) + part(c, max(1 - share, 1e-9)), F.lit(0.0)))
+        found = counts.where((a >= LEXICON_ROWS) & (a > (a + c) * share)).select("word", z.alias("z"))
+        top = found.where(F.col("z") >= F.when(stem, STEM_Z).otherwise(LEXICON_Z)).orderBy(F.desc("z"), "word").limit(LEXICON_SIZE)
+        learned: dict[str, float] = {}
+        for r in top.collect():
+            word = r["word"][:-1] if "*" in r["word"] else r["word"]
+            learned[word] = max(learned.get(word, 0.0), r["z"])
+        out.append(learned)
+    drop_path(rows.sparkSession, counts)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """A model learned from a bounded sample of the labelled rows that are not held out."""
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = cut(labelled.sample(docs, labels, "toxic", MODULUS, KEPT_BACK, train_rows).select("doc_id", "text", "label", fold), "toxicity-rows")
+    learned = lexicons(rows)
+    names = [f"f{k}" for k in range(len(learned))]
 
     def make():
-        dense = Dense(learned)
+        dense = [Dense(x) for x in learned]
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            return {"features": pa.array([dense.of(t).astype("<f4").tobytes() for t in batch.column("text").to_pylist()], pa.binary())}
+            texts = batch.column("text").to_pylist()
+            return {n: pa.array([d.of(t).astype("<f4").tobytes() for t in texts], pa.binary()) for n, d in zip(names, dense, strict=True)}
 
         return step
 
-    got = append(chosen, [StructField("features", BinaryType())], make).select("doc_id", "label", "features").toArrow().to_pylist()
+    got = append(rows, [StructField(n, BinaryType()) for n in names], make).select("doc_id", "label", "fold", *names).toArrow().to_pylist()
+    drop_path(docs.sparkSession, rows)
     got.sort(key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["features"], "<f4") for r in got]).reshape(len(got), len(FEATURES))
-    return Model(learned, x, np.array([r["label"] for r in got], float))
+    views = [np.array([np.frombuffer(r[n], "<f4") for r in got]).reshape(len(got), len(FEATURES)) for n in names]
+    return Model(learned[0], views, np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got], int))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
