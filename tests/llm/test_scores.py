@@ -176,6 +176,15 @@ def test_training_sample_is_bounded_and_fixed(spark):
     assert ids(1) == ids(5) and len(ids(1)) == 40
 
 
+def test_repeated_ids_do_not_multiply_the_sample(spark):
+    d, l = frames(spark, 60)
+    many = d.unionByName(d).unionByName(d.selectExpr("doc_id", "concat(text, ' more') AS text"))
+    rows = labelled.sample(many, l, "quality", 3, 1, 20).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 20
+    text = dict(corpus(60)[0])
+    assert all(r["text"] == min(text[r["doc_id"]], text[r["doc_id"]] + " more") for r in rows)
+
+
 def test_isotonic_and_trees():
     rng = np.random.RandomState(1)
     x = rng.normal(size=(400, 3)).astype(np.float32)
@@ -184,7 +193,7 @@ def test_isotonic_and_trees():
     assert ((t.margin(x) > 0) == (y > 0)).mean() > 0.97
     centres, means = toxicity.isotonic(t.margin(x), y)
     assert (np.diff(means) > 0).all() and (np.diff(centres) > 0).all()
-    s = toxicity.Model({}, np.pad(x, ((0, 0), (0, len(toxicity.FEATURES) - 3))), y)
+    s = toxicity.Model({}, [np.pad(x, ((0, 0), (0, len(toxicity.FEATURES) - 3)))] * (toxicity.FOLDS + 1), y, np.arange(400) % toxicity.FOLDS)
     assert ((s.score(np.pad(x, ((0, 0), (0, len(toxicity.FEATURES) - 3)))) > 0.5) == (y > 0)).mean() > 0.97
 
 
