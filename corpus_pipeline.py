@@ -5,7 +5,7 @@ last return the columns of documents. ``run`` writes each stage's result to the
 reads it again.
 
 Empty tables pass through every stage as empty; null texts fail the quality rules; rows that repeat a
-doc_id count as one document where near duplicates are dropped.
+doc_id, or have none, are documents of their own where near duplicates are dropped.
 """
 
 from __future__ import annotations
@@ -14,12 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.llm import packing, quality, quality_rules, secrets, shingles
-from kvloom.llm.common import cut, table
+from kvloom.llm.common import cut, drop_path, table
 from kvloom.llm.queries import tokenizer
 
-#: Most ids that a filter broadcasts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the raw corpus is this stage's input."""
@@ -37,15 +34,26 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = cut(shingles.near_duplicates(docs).select("doc_id", "component_id"), "duplicates")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    repeated = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates.
+
+    Where ids repeat or are null, rows are joined by numbers of their own, and of a group the first
+    row by id stays: no row goes unless its own text is a near copy of one that stays. Dropped ids lie
+    in a table, so Spark broadcasts them or shuffles by their size.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
+        found = shingles.near_duplicates(docs).select("doc_id", "component_id")
+        dropped = cut(found.where("doc_id <> component_id").select("doc_id"), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = cut(shingles.near_duplicates(rows.select("_row", "text"), key="_row").select(F.col("doc_id").alias("_row"), "component_id"), "duplicates")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    grouped = cut(found.join(several, "component_id").join(rows.select("_row", "doc_id"), "_row"), "groups")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    dropped = cut(grouped.select("_row").join(first, "_row", "left_anti"), "dropped")
+    for used in (found, grouped):
+        drop_path(spark, used)
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
