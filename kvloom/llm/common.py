@@ -54,18 +54,26 @@ def words(text: str | None) -> list[bytes]:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder of the session.
+    """A new folder in the shared checkpoint folder of the session, below one folder for the application.
 
-    The setting is read from the session; only where it is unset (tests on one machine) a
-    temporary folder is set.
+    The setting is read from the session. Where it is unset, a temporary folder is set if all of Spark
+    runs in this machine's one process; on a cluster that is an error, since nodes share no such folder.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
         known = context._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="kvloom-")
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/kvloom-{context.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; results not written yet cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x").rsplit("/", 1)[0])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

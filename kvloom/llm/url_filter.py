@@ -6,9 +6,10 @@ takes for listed, level 2 the listed keys that level 1 takes for unlisted, and s
 makes no mistake; walking the levels then answers exactly for every key of the universe, and pages
 are judged without a join.
 
-Levels are built by the executors (bits are or-ed before and after the shuffle) and their sizes are
-counted first: a cascade of more than ``MOST_BYTES`` is not broadcast, and hosts are then judged by a
-join with the marked keys, which gives the same verdicts.
+Level 0 is as exact as the share of listed keys asks for, so a cascade's size follows the listed
+keys (some twenty bits each) and hardly the universe. Levels are built by the executors (bits are
+or-ed before and after the shuffle). Keys are dealt by hash to as many cascades as it takes for none
+to be over ``MOST_BYTES``; each is broadcast by itself, and a task holds one at a time.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
 allowed; repeated rows are judged alike; an empty list allows every page that no rule blocks.
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from kvloom.llm.common import append, cut
+from kvloom.llm.common import append, cut, drop_path
 
-#: Share of wrong answers aimed at by each level.
-WRONG = 0.3
-#: Largest cascade that is broadcast, in bytes, and most levels of one.
-MOST_BYTES, MOST_LEVELS = 64 << 20, 60
+#: Share of wrong answers aimed at by each level (level 0 may aim at less), and most hashes of a key.
+WRONG, HASHES = 0.3, 24
+#: Bytes of a cascade at most, by the estimate of ``cascades``.
+MOST_BYTES = 64 << 20
 #: Answers kept by a task.
 HOSTS_KEPT = 200_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,11 +83,10 @@ def keys_of(host: Column) -> Column:
 class Level:
     """One Bloom filter; its number salts the hashes, so levels fail independently."""
 
-    def __init__(self, number: int, keys: int):
+    def __init__(self, number: int, keys: int, wrong: float = WRONG):
         self.number = number
-        self.size = max(64, math.ceil(keys * -math.log(WRONG) / math.log(2) ** 2 / 64) * 64)
-        self.hashes = max(1, round(self.size / max(keys, 1) * math.log(2)))
-        self.hashes = min(self.hashes, 8)
+        self.size = max(64, math.ceil(keys * -math.log(wrong) / math.log(2) ** 2 / 64) * 64)
+        self.hashes = min(HASHES, max(1, round(self.size / max(keys, 1) * math.log(2))))
         self.bits: np.ndarray | None = None
 
     def places(self, keys: list[str]) -> np.ndarray:
@@ -153,16 +153,19 @@ def marked_keys(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     return both.where("seen").select("key", "listed")
 
 
-def build(keys: DataFrame) -> Cascade | None:
-    """Cascade over marked keys, or None where it would be larger than ``MOST_BYTES``."""
+def first_wrong(listed: int, universe: int) -> float:
+    """Share of wrong answers for level 0: as many unlisted keys pass as there are listed ones, about."""
+    return min(WRONG, max(0.7 * listed / max(universe, 1), 2.0**-HASHES))
+
+
+def build(keys: DataFrame, listed: int, universe: int) -> Cascade:
+    """Cascade over marked keys, of which ``listed`` are listed."""
     levels: list[Level] = []
     pools = {True: keys.where("listed").select("key"), False: keys.where(~F.col("listed")).select("key")}
-    inside = True
-    size = pools[True].count()
-    while size and len(levels) < MOST_LEVELS:
-        level = Level(len(levels), size)
-        if sum(x.size for x in levels) + level.size > 8 * MOST_BYTES:
-            return None
+    inside, size = True, listed
+    own: list[DataFrame] = []
+    while size:
+        level = Level(len(levels), size, WRONG if levels else first_wrong(listed, universe))
         level.fill(pools[inside])
         levels.append(level)
         has = level.has
@@ -172,9 +175,33 @@ def build(keys: DataFrame) -> Cascade | None:
                 yield batch.filter(pa.array(has(batch.column(0).to_pylist())))
 
         pools[not inside] = cut(pools[not inside].mapInArrow(taken, pools[not inside].schema), "cascade")
+        own.append(pools[not inside])
         inside = not inside
         size = pools[inside].count()
-    return None if size else Cascade(levels)
+    for pool in own:
+        drop_path(keys.sparkSession, pool)
+    return Cascade(levels)
+
+
+def part_of(key: str, parts: int) -> int:
+    """The cascade of a key: the remainder of Spark's hash of it."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(key.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+def cascades(keys: DataFrame) -> list[Cascade]:
+    """As many cascades over marked keys as hold them in ``MOST_BYTES`` each, made one after the other."""
+    counted = keys.agg(F.count("*").alias("n"), F.count_if("listed").alias("listed")).first()
+    bits = counted["listed"] * (1.44 * -math.log2(first_wrong(counted["listed"], counted["n"])) + 6)
+    parts = max(1, math.ceil(bits / 8 / MOST_BYTES))
+    out = []
+    for part in range(parts):
+        own = keys if parts == 1 else keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
+        n = counted if parts == 1 else own.agg(F.count("*").alias("n"), F.count_if("listed").alias("listed")).first()
+        out.append(build(own, n["listed"], n["n"]))
+    return out
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url") -> DataFrame:
@@ -183,46 +210,54 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str
     d = with_parts(pages.drop(*[c for c in pages.columns if c.lower() in made and c != url]), url)
     text, verdict = rule_of(rules)
     keys = cut(marked_keys(d.select("host"), listed), "url-keys")
-    cascade = build(keys)
+    shared = [pages.sparkSession.sparkContext.broadcast(c) for c in cascades(keys)]
+    drop_path(pages.sparkSession, keys)
     d = d.withColumns({"rule": text, "_verdict": verdict})
-    if cascade is None:
-        bad = keys.where("listed").select("key")
-        hosts = d.groupBy("host").agg(F.lit(1).alias("_one")).select("host", F.explode(keys_of(F.col("host"))).alias("key"))
-        blocked = hosts.join(bad, "key").groupBy("host").agg(F.lit(True).alias("_listed"))
-        d = d.join(blocked, "host", "left")
-    else:
-
-        def make():
-            known: dict[str, bool] = {}
-
-            def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-                hosts = batch.column("host").to_pylist()
-                if len(known) > HOSTS_KEPT:
-                    known.clear()
-                new = sorted({h for h in hosts if h not in known})
-                answers, at = cascade.listed([k for h in new for k in suffixes(h)]), 0
-                for h in new:
-                    n = len(suffixes(h))
-                    known[h] = bool(answers[at : at + n].any())
-                    at += n
-                return {"_listed": pa.array([known[h] for h in hosts], pa.bool_())}
-
-            return step
-
-        d = append(d, [StructField("_listed", BooleanType())], make)
+
+    def make():
+        known: dict[str, bool] = {}
+
+        def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            hosts = batch.column("host").to_pylist()
+            if len(known) > HOSTS_KEPT:
+                known.clear()
+            new = sorted({h for h in hosts if h not in known})
+            known.update(dict.fromkeys(new, False))
+            asked: dict[int, list[tuple[str, str]]] = {}
+            for h in new:
+                for k in suffixes(h):
+                    asked.setdefault(part_of(k, len(shared)), []).append((k, h))
+            for part, pairs in sorted(asked.items()):
+                answers = shared[part].value.listed([k for k, _ in pairs])
+                if len(shared) > 1:
+                    shared[part].__dict__.pop("_value", None)  # one cascade at a time
+                known.update((h, True) for (_, h), yes in zip(pairs, answers.tolist(), strict=True) if yes)
+            return {"_listed": pa.array([known[h] for h in hosts], pa.bool_())}
+
+        return step
+
+    d = append(d, [StructField("_listed", BooleanType())], make)
     return d.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("_listed"), "block").otherwise("allow"))).drop("_verdict", "_listed")
 
 
-# The query's rules and list.
+# The query's rules, and what its list is made of.
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-LISTED_NAMES = ("ads-track", "casino-win", "free-bets", "cheap-pills", "adult-x", "spam-farm")
+SYLLABLES = "th ha on er he an re in nd ed or wh ing tion ble sh".split()
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+#: Of the names of two syllables, each so manieth is listed.
+LISTED_STEP = 5
+
+
+def listed_keys() -> list[str]:
+    """The query's list: every ``LISTED_STEP``-th name of two syllables, below every domain."""
+    n = len(SYLLABLES)
+    names = [a + b for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) if (i * n + j) % LISTED_STEP == 0]
+    return [f"{name}.{d}" for name in names for d in LISTED_DOMAINS]
 
 
 def digest(pages: DataFrame) -> DataFrame:
     """One row a page: host, path, rule and verdict."""
-    spark = pages.sparkSession
-    listed = spark.createDataFrame(pd.DataFrame({"key": [f"{n}.{d}" for n in LISTED_NAMES for d in LISTED_DOMAINS]}))
+    listed = pages.sparkSession.createDataFrame(pd.DataFrame({"key": listed_keys()}))
     return filter_urls(pages.select("page_id", "url"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -232,8 +267,11 @@ def oracle() -> str:
     by_length = sorted(RULES, key=lambda r: -len(r.text))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in by_length)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in by_length)
-    listed = " OR ".join(f"host = '{n}.{d}' OR ends_with(host, '.{n}.{d}')" for n in LISTED_NAMES for d in LISTED_DOMAINS)
+    n, quoted = len(SYLLABLES), lambda x: ", ".join(f"'{v}'" for v in x)
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{CAPITALS}', '{SMALL}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
-SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM parts"""
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{CAPITALS}', '{SMALL}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+syllables AS (SELECT unnest([{quoted(SYLLABLES)}]) AS s, unnest(range({n})) AS i),
+listed AS (SELECT a.s || b.s || '.' || d.name AS key FROM syllables a, syllables b, (SELECT unnest([{quoted(LISTED_DOMAINS)}]) AS name) d WHERE (a.i * {n} + b.i) % {LISTED_STEP} = 0),
+blocked AS (SELECT DISTINCT host FROM (SELECT DISTINCT host FROM parts) h, listed WHERE host = key OR ends_with(host, '.' || key))
+SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} ELSE CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END END AS verdict FROM parts"""

@@ -43,8 +43,8 @@ COSINE = 0.95
 BLOCKS = 4
 #: Components of a cell's vectors (rows times length).
 CELL = 1 << 20
-#: Most bytes (and rows) of the sample that cells are cut by, and fewest of its rows at a cut.
-SAMPLE_BYTES, SAMPLE_ROWS, SAMPLE_LEAST = 32 << 20, 1 << 17, 16
+#: Most bytes (and rows, and rows a cell) of the sample that cells are cut by, and fewest of its rows at a cut.
+SAMPLE_BYTES, SAMPLE_ROWS, SAMPLE_CELL, SAMPLE_LEAST = 32 << 20, 1 << 17, 256, 16
 #: Vectors of a leaf of the tree inside a tile, and vectors compared with it at once.
 LEAF, VISITORS = 128, 4096
 #: Vectors that a task packs at once.
@@ -316,11 +316,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     many = {r["w"]: r["n"] for r in single.groupBy(width_of.alias("w")).agg(F.count("*").alias("n")).where(F.col("w") * F.col("n") > CELL).collect()}
     cells: dict[int, list[Cells]] = {}
     for width, n in sorted(many.items()):
-        most = max(2 * SAMPLE_LEAST, min(SAMPLE_ROWS, SAMPLE_BYTES // (size * width)) // len(many))
+        depth = (-(-n * width // CELL) - 1).bit_length()
+        most = max(2 * SAMPLE_LEAST, min(SAMPLE_ROWS // len(many), SAMPLE_BYTES // (size * width) // len(many), SAMPLE_CELL << min(depth, 20)))
         # a sample by id; twice as many rows as meant are the most that are taken
         taken = single.where((width_of == width) & (F.pmod(F.xxhash64("vid"), F.lit(-(-n // most))) == 0)).select("vid", "raw").limit(2 * most).toArrow()
         t = rotate(unpack(taken["raw"].combine_chunks(), kind)) if taken.num_rows else np.zeros((0, 1 << max(0, (width - 1).bit_length())))
-        depth = (-(-n * width // CELL) - 1).bit_length()
         cells[width] = [Cells(t[:, c:d], depth) for c, d in blocks_of(t.shape[1])]
 
     def dealt(batches):
