@@ -71,6 +71,13 @@ def test_repeated_ids_count_once(spark):
     assert corpus_pipeline.one_of_each(spark, docs(spark).where("doc_id = 7"), SF).count() == 1
 
 
+def test_rows_with_repeated_or_no_ids_go_only_as_near_copies(spark):
+    a, b, c = ("one two three four five six seven eight nine ten eleven " + x for x in ("alpha", "beta gamma delta epsilon zeta eta", "some other words that follow here"))
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, c), (8, c), (None, "alone"), (None, "alone too"), (4, None), (4, "")]
+    out = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(5, b), (3, a), (8, c), (None, "alone"), (None, "alone too"), (4, None), (4, "")], key=str)
+
+
 def test_classifier_learns_from_documents_that_the_rules_dropped(spark):
     start, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     good, bad = (labels.where(f"quality = {q}").select("doc_id") for q in (1, 0))
