@@ -54,7 +54,7 @@ RANGE_SHINGLES, TEXT_BYTES = 1 << 22, 5
 #: Documents of a batch with one shingle from which the shingle goes as a counted entry.
 HOT = 64
 #: Sets of a block of a large family, sets that stand for its largest group, and sets of small families to a task.
-BLOCK, PIVOTS, TASK_SETS = 500, 100, 2000
+BLOCK, PIVOTS, TASK_SETS = 250, 60, 2000
 #: Word hashes kept by a task, and rows turned to Python objects at once.
 KEPT_WORDS, ROWS = 200_000, 500
 #: Document number of a counted entry.
