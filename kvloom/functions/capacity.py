@@ -122,6 +122,13 @@ class Growth:
         grown = size.cast("long") + more
         return F.when((grown > self.limit) & (size >= self.limit), F.lit(None)).when(grown > self.limit, F.lit(self.limit)).otherwise(div_up(grown, PAGE) * PAGE)
 
+    def after(self, used: int, size: int) -> int | None:
+        """The size that a full map grows to, once; None where it need not or cannot grow."""
+        if not self.enabled or size <= 0 or used / size * 100.0 < self.threshold or size >= self.limit:
+            return None
+        grown = size + min(max(int(size * self.factor - size), self.least), self.most)
+        return self.limit if grown > self.limit else -(-grown // PAGE) * PAGE
+
 
 MIB = 1 << 20
 # Growth presets.

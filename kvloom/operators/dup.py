@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kvloom.operators.read import bounds, part_of
 from kvloom.operators.write import BASE
 
 
@@ -51,13 +52,26 @@ def count_values(d: DataFrame) -> DataFrame:
 
 def nth(d: DataFrame, n: int) -> DataFrame:
     """The n-th value of every key that has as many, from 1."""
-    w = W.partitionBy("key").orderBy("value")
-    return d.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") == n).select("key", "value")
+    return numbered(d).where(F.col("rn") == n).select("key", "value")
 
 
 def numbered(d: DataFrame) -> DataFrame:
-    """(key, value, rn): every value with its place in its key's set."""
-    return d.distinct().select("key", "value", F.row_number().over(W.partitionBy("key").orderBy("value")).alias("rn"))
+    """(key, value, rn): every value with its place in its key's set.
+
+    Pairs are cut into ranges by key and value, so a hot key's set is counted by many tasks; places
+    are shifted by the key's rows in the ranges before. Only keys that lie in several ranges, two a
+    border at most, are looked up for that.
+    """
+    pairs = d.select("key", "value").distinct()
+    rank = F.struct(F.col("key").alias("o0"), F.col("value").alias("o1"))
+    cuts = bounds(pairs.select(rank.alias("rank")), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.withColumn("_part", part_of(rank, cuts))
+    sizes = dealt.groupBy("_part", "key").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shift = F.sum("n").over(W.partitionBy("key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.join(split, "key").select("_part", "key", shift.alias("_before"))
+    own = dealt.withColumn("_rn", F.row_number().over(W.partitionBy("_part", "key").orderBy("value")))
+    return own.join(F.broadcast(before), ["_part", "key"], "left").select("key", "value", (F.coalesce("_before", F.lit(0)) + F.col("_rn")).cast("long").alias("rn"))
 
 
 def representation(d: DataFrame) -> DataFrame:

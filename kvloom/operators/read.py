@@ -155,20 +155,29 @@ def neighbours(t: DataFrame, order: Order = LEXICOGRAPHIC, carry: str | None = N
 def seek_many(t: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe_id, probe, key, value): for every probe the first row at or after it, nulls past the end.
 
-    Keys and probes are put in one sequence, dealt by ranges; the nearest later row is a window inside
-    the range, or else the first row of the next range that has one.
+    Distinct probe keys and table keys are put in one sequence, dealt by ranges cut over both; the
+    nearest later key is a window inside the range, or else the first key of the next range that has
+    one. Answers are then joined to the probes, so a hot probe key is one row of the sequence.
     """
-    rows = t.select(F.col("key").alias("k"), F.struct("key", "value").alias("row"), F.lit(1).alias("kind"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
-    asked = probes.select(F.col("key").alias("k"), F.lit(None).alias("row"), F.lit(0).alias("kind"), "probe_id")
-    both = rows.unionByName(asked.withColumn("row", F.col("row").cast(rows.schema["row"].dataType)))
+    every = t.select(F.col("key").alias("k"), F.lit(True).alias("there")).unionByName(probes.select(F.col("key").alias("k"), F.lit(False).alias("there")))
+    keys = every.groupBy("k").agg(F.max("there").alias("there"))
     rank = F.struct(F.col("k").alias("o0"))
-    cuts = bounds(t.select(F.struct(F.col("key").alias("o0")).alias("rank")), int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = both.withColumn("_part", part_of(rank, cuts))
+    cuts = bounds(keys.select(rank.alias("rank")), int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = keys.withColumn("_part", part_of(rank, cuts)).withColumn("own", F.when(F.col("there"), F.col("k")))
     # from the end backwards, so that the window grows instead of being summed up anew for each row
-    w = W.partitionBy("_part").orderBy(F.desc("k"), F.desc("kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = both.select("*", F.last("row", ignorenulls=True).over(w).alias("_met"))
-    firsts = both.groupBy("_part").agg(F.min("row").alias("_row"))
+    w = W.partitionBy("_part").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = both.select("*", F.last("own", ignorenulls=True).over(w).alias("_met"))
+    firsts = both.groupBy("_part").agg(F.min("own").alias("_row"))
     later = firsts.select("_part", F.last("_row", ignorenulls=True).over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
-    out = inside.where("kind = 0").join(F.broadcast(later), "_part", "left")
-    met = F.coalesce("_met", "_later")
-    return out.select("probe_id", F.col("k").alias("probe"), met["key"].alias("key"), met["value"].alias("value"))
+    met = inside.join(F.broadcast(later), "_part", "left").select(F.col("k").alias("probe"), F.coalesce("_met", "_later").alias("key"))
+    found = probes.select("probe_id", F.col("key").alias("probe")).join(met, "probe", "left").join(t.select("key", "value"), "key", "left")
+    return found.select("probe_id", "probe", "key", "value")
+
+
+def positions(t: DataFrame, order: Order = LEXICOGRAPHIC) -> DataFrame:
+    """Rows with their place in order (column rn), counted inside key ranges and shifted by the ranges before."""
+    dealt = ranged(t, order)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(*order.by(F.col("key")))))
+    return own.join(F.broadcast(before), "_part").withColumn("rn", (F.col("_before") + F.col("_rn")).cast("long")).drop("_part", "_before", "_rn")

@@ -1,9 +1,14 @@
 """Writes as a fold of an operation log over a base table.
 
 A log has rows (seq, op, key, value) with unique seq; op is put, put_no_overwrite, update, delete or
-clear. The state of a key depends on few facts of its operations, which are all minima and maxima, so
-the fold is one aggregation by key with partial sums before the shuffle: a hot key costs one row a
-task, and nothing is sorted.
+clear. Base rows whose key no operation names pass as they are: where the log's keys are few, Spark
+broadcasts them and the base is not shuffled. The state of a named key depends on few facts of its
+operations, which are all minima and maxima of sequence numbers, so they are hash-aggregated with
+partial sums before the shuffle and a hot key costs one row a task; the rows that won are then joined
+back by key and number.
+
+Keys are unique. Rows given to ``put``, ``put_no_overwrite`` and ``update`` may repeat a key only if they
+carry a column ``seq``, whose greatest row counts; without it a repeated key is an error.
 """
 
 from __future__ import annotations
@@ -34,29 +39,43 @@ def fold(base: DataFrame, log: DataFrame, order: Order = LEXICOGRAPHIC) -> DataF
     put_no_overwrite after it brings the key into being; of that row, later puts and later updates,
     the last one holds. Keys that the order calls equal are one key, spelled as it was last put.
     """
-    every = as_log(base).unionByName(log.where("op <> 'clear'").select(F.col("seq").cast("long").alias("seq"), "op", "key", "value"))
-    every = every.join(F.broadcast(last_clear(log))).where("seq > clear_seq").drop("clear_seq")
-    every = every.withColumn("_same", order.same(F.col("key")))
-    # one pass: rows after the last delete are found by carrying, per key, the deletes' maximum
-    gone = F.max(F.when(F.col("op") == "delete", F.col("seq")))
-    simple = every.groupBy("_same").agg(
-        gone.alias("gone"),
-        F.max(F.when(F.col("op") == "put", F.struct("seq", "key", "value"))).alias("last_put"),
-        F.sum(F.when(F.col("op").isin("put", "delete"), 0).otherwise(1)).alias("conditional"),
-    )
-    settled = simple.where("conditional = 0").where(F.col("last_put").isNotNull() & (F.col("gone").isNull() | (F.col("last_put.seq") > F.col("gone"))))
-    plain = settled.select("last_put.key", "last_put.value")
+    same = order.same(F.col("key"))
+    cleared = F.broadcast(last_clear(log))
+    ops = log.where("op <> 'clear'").select(F.col("seq").cast("long").alias("seq"), "op", "key", "value").withColumn("_same", same)
+    named = ops.select("_same").distinct()
+    old = as_log(base).withColumn("_same", same).join(cleared).where("seq > clear_seq").drop("clear_seq")
+    untouched = old.join(named, "_same", "left_anti").select("key", "value")
+    every = old.join(named, "_same", "left_semi").unionByName(ops.join(cleared).where("seq > clear_seq").drop("clear_seq"))
+    seq_of = lambda *names: F.when(F.col("op").isin(*names), F.col("seq"))
+    facts = every.groupBy("_same").agg(F.max(seq_of("delete")).alias("gone"), F.max(seq_of("put")).alias("put"), F.count(seq_of("put_no_overwrite", "update")).alias("conditional"))
+    plain = facts.where("conditional = 0 AND put IS NOT NULL AND (gone IS NULL OR put > gone)").select("_same", F.col("put").alias("seq"), F.col("put").alias("spelled"))
     # keys with conditional operations need the state at their time
-    open_ = every.join(simple.where("conditional > 0").select("_same", "gone"), "_same").where("gone IS NULL OR seq > gone").where("op <> 'delete'")
-    born = open_.groupBy("_same").agg(F.min(F.when(F.col("op").isin("put", "put_no_overwrite"), F.col("seq"))).alias("born"))
-    counted = open_.join(born, "_same").where("born IS NOT NULL AND (seq = born OR op = 'put' OR (op = 'update' AND seq > born))")
-    held = counted.groupBy("_same").agg(F.max(F.struct("seq", "value")).alias("r"), F.max(F.when(F.col("op") != "update", F.struct("seq", "key"))).alias("k"))
-    return plain.unionByName(held.select("k.key", "r.value"))
+    open_ = every.select("_same", "seq", "op").join(facts.where("conditional > 0").select("_same", "gone"), "_same").where("op <> 'delete' AND (gone IS NULL OR seq > gone)")
+    born = open_.groupBy("_same").agg(F.min(seq_of("put", "put_no_overwrite")).alias("born"))
+    counted = open_.join(born, "_same").where("seq = born OR op = 'put' OR (op = 'update' AND seq > born)")
+    held = counted.groupBy("_same").agg(F.max("seq").alias("seq"), F.max(F.when(F.col("op") != "update", F.col("seq"))).alias("spelled"))
+    won = plain.unionByName(held).where("seq IS NOT NULL")
+    rows = every.select("_same", "seq", "key", "value")
+    settled = rows.drop("key").join(won, ["_same", "seq"])
+    if order.by_key:
+        settled = settled.select(F.col("_same").alias("key"), "value")
+    else:
+        settled = settled.select("_same", F.col("spelled").alias("seq"), "value").join(rows.drop("value"), ["_same", "seq"]).select("key", "value")
+    return untouched.unionByName(settled)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """(key, value), each key once: the row of the greatest ``seq``, or an error where keys repeat without one."""
+    if "seq" in rows.columns:
+        return rows.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+    one = rows.groupBy("key").agg(F.count("*").alias("_n"), F.first("value").alias("value"))
+    stop = F.raise_error(F.lit("a key is given more than once")).cast(rows.schema["value"].dataType)
+    return one.select("key", F.when(F.col("_n") == 1, F.col("value")).otherwise(stop).alias("value"))
 
 
 def put(base: DataFrame, rows: DataFrame) -> DataFrame:
     """Upsert: the rows, and base rows with other keys."""
-    return base.join(rows.select("key"), "key", "left_anti").unionByName(rows.select("key", "value"))
+    return base.join(rows.select("key"), "key", "left_anti").unionByName(latest(rows))
 
 
 def put_with_before(base: DataFrame, rows: DataFrame) -> DataFrame:
@@ -66,13 +85,15 @@ def put_with_before(base: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def put_no_overwrite(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Base and those rows whose key it does not have."""
-    return base.unionByName(rows.select("key", "value").join(base.select("key"), "key", "left_anti"))
+    """Base and those rows whose key it does not have; of rows that repeat a key, the first by ``seq``."""
+    if "seq" in rows.columns:
+        rows = rows.withColumn("seq", -F.col("seq"))
+    return base.unionByName(latest(rows).join(base.select("key"), "key", "left_anti"))
 
 
 def update(base: DataFrame, rows: DataFrame) -> DataFrame:
     """Base with new values for keys that it has; other rows are ignored."""
-    new = rows.select("key", F.col("value").alias("_new"), F.lit(True).alias("_met"))
+    new = latest(rows).select("key", F.col("value").alias("_new"), F.lit(True).alias("_met"))
     return base.join(new, "key", "left").select("key", F.when(F.col("_met"), F.col("_new")).otherwise(F.col("value")).alias("value"))
 
 

@@ -32,19 +32,37 @@ class Files:
         finally:
             stream.close()
 
-    def write_once(self, name: str, text: str) -> bool:
-        """Write a new file whole, or not at all; false if it is there already."""
+    def write_once(self, name: str, text: str, flush: str = "hsync") -> bool:
+        """Write a new file whole, or not at all; false if it is there already.
+
+        Some file systems let a rename replace a file, so the name is claimed first: of two writers
+        one gets it. ``flush`` is how far the bytes go before the file is there: hsync (the disk), hflush
+        (other readers) or none.
+        """
         target = self.path(name)
-        if self.fs.exists(target):
+        if self.fs.exists(target) or not self.claim(f"{name}.claim"):
             return False
         part = self.path(f"{name}.{self.jvm.java.util.UUID.randomUUID()}.part")
         stream = self.fs.create(part, True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
-            stream.hsync()
+            if flush != "none":
+                getattr(stream, flush)()
         finally:
             stream.close()
-        return self.fs.rename(part, target)
+        done = not self.fs.exists(target) and self.fs.rename(part, target)
+        if not done:
+            self.fs.delete(part, True)
+        return done
+
+    def age(self, name: str) -> float:
+        """Seconds since a file was last written; 0 if it is not there."""
+        try:
+            return max(0.0, self.jvm.java.lang.System.currentTimeMillis() / 1000 - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000)
+        except Exception:  # gone meanwhile
+            if self.exists(name):
+                raise
+            return 0.0
 
     def claim(self, name: str) -> bool:
         """Create an empty file if it is not there: the first caller wins."""

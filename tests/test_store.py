@@ -230,3 +230,163 @@ def test_stream_into_a_store(spark, store, tmp_path):
     drain()
     drain()
     assert items(store.read_txn()) == {b"b": b"2", b"c": b"3"}
+
+
+def test_cursor_walks_and_changes(store):
+    with store.write_txn() as txn:
+        for i in (1, 3, 5, 7, 9):
+            txn.put(b"key%02d" % i, b"value%02d" % i)
+    c = store.read_txn().cursor()
+    entry = lambda i: (b"key%02d" % i, b"value%02d" % i)
+    assert c.current() is None and c.seek(b"key05") == entry(5) and c.seek(b"key06") == entry(7) and c.seek(b"key00") == entry(1)
+    assert c.prev() is None and c.current() == entry(1) and c.next() == entry(3) and c.next() == entry(5) and c.prev() == entry(3)
+    assert c.last() == entry(9) and c.next() is None and c.current() == entry(9) and c.prev() == entry(7)
+    assert c.seek(b"key99") is None and c.current() is None and c.next() == entry(1)
+    with pytest.raises(E.InvalidOperation):
+        c.put(b"a", b"b")
+    with store.write_txn() as txn:
+        c = txn.cursor()
+        c.put(b"key04", b"value04")
+        assert c.next() == entry(5) and c.prev() == entry(4)
+        assert c.seek(b"key03") and c.update(b"updated") and c.current() == (b"key03", b"updated")
+        assert c.seek(b"key07") and c.delete() and c.current() is None and not c.delete() and c.next() == entry(9)
+        assert not c.put_no_overwrite(b"key09", b"x") and c.value == b"value09" and c.put_no_overwrite(b"key10", b"x")
+    assert items(store.read_txn()) == {b"key01": b"value01", b"key03": b"updated", b"key04": b"value04", b"key05": b"value05", b"key09": b"value09", b"key10": b"x"}
+
+
+def test_cursor_over_sets(store):
+    store.create("d", dup_sort=True)
+    with store.write_txn() as txn:
+        for v in (b"300", b"100", b"200"):
+            txn.put(b"n", v, "d")
+        txn.put(b"o", b"1", "d")
+    c = store.read_txn().cursor("d")
+    assert c.first_dup() is None and c.first() == (b"n", b"100") and c.next_dup() == b"200" and c.next_dup() == b"300" and c.next_dup() is None
+    assert c.first_dup() == b"100" and c.next() == (b"o", b"1") and c.next() is None and c.prev() == (b"n", b"100")
+
+
+def test_orders_of_tables(spark, store):
+    for name in ("case_insensitive", "numeric", "reverse_lexicographic", "reversed_key"):
+        store.create(name, order=name)
+    with store.write_txn() as txn:
+        for k in (b"b10", b"A9", b"a9", b"C1", b"B10", b"9"):
+            for name in ("case_insensitive", "numeric", "reverse_lexicographic", "reversed_key"):
+                txn.put(k, b"v-" + k, name)
+    with store.write_txn() as txn:  # over a base too
+        txn.put(b"c1", b"again", "case_insensitive")
+        txn.delete(b"a9", "numeric")
+    t = store.read_txn()
+    keys = lambda name: [k for k, _ in t.items(name)]
+    assert keys("case_insensitive") == [b"9", b"a9", b"B10", b"c1"] and t.get(b"C1", "case_insensitive") == b"again" and t.count("case_insensitive") == 4
+    assert keys("numeric") == [b"9", b"A9", b"C1", b"B10", b"b10"]
+    assert keys("reverse_lexicographic") == [b"b10", b"a9", b"C1", b"B10", b"A9", b"9"]
+    assert keys("reversed_key") == sorted(keys("reversed_key"), key=lambda k: k.hex()[::-1])
+    assert [bytes(r["key"]) for r in t.range(b"A", b"B11", "case_insensitive").collect()] == [b"a9", b"B10"]
+    assert [bytes(r["key"]) for r in t.range(b"a9", b"A9", "reverse_lexicographic").collect()] == [b"a9", b"C1", b"B10"]
+    c = t.cursor("reverse_lexicographic")
+    assert c.first()[0] == b"b10" and c.next()[0] == b"a9" and c.seek(b"a")[0] == b"C1" and c.prev()[0] == b"a9" and c.last()[0] == b"9"
+    assert [bytes(r["key"]) for r in t.reverse("numeric").collect()] == keys("numeric")[::-1]
+    with pytest.raises(E.InvalidOperation):
+        store.create("x", order="none")
+
+
+def test_typed_tables(spark, store):
+    store.create("t", codec=("long", "utf8"))
+    from kvloom.functions import codec
+    from pyspark.sql import functions as F
+
+    log = spark.range(-3, 3).select(F.col("id").alias("seq"), F.lit("put").alias("op"), codec.be_ordered(F.col("id")).alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("value"))
+    with store.write_txn() as txn:
+        txn.apply(log, "t")
+    assert [tuple(r) for r in store.read_txn().typed("t").orderBy("key").collect()] == [(i, str(i)) for i in range(-3, 3)]
+
+
+def test_two_processes(spark, store, tmp_path):
+    """Two stores on one folder: one writer at a time, and a vacuum keeps what the other reads."""
+    other = Store(spark, store.root)
+    with store.write_txn() as txn:
+        txn.put(b"a", b"1")
+    txn = store.write_txn()
+    with pytest.raises(E.Conflict):
+        other.write_txn(wait=0.1)
+    txn.put(b"a", b"2")
+    reader = other.read_txn()
+    txn.commit()
+    with other.write_txn(wait=1.0) as more:
+        more.put(b"b", b"3")
+    assert reader.id not in store.vacuum() and reader.get(b"a") == b"1" and items(store.read_txn()) == {b"a": b"2", b"b": b"3"}
+    assert [r["slot"] for r in store.reader_slots()] == [0, 1]
+    reader.close()
+    assert reader.id in store.vacuum() and store.clear_stale_readers() == []
+    store.files.claim("readers/000007")
+    store.files.write_once("readers/000007.1.json", '{"version": 1, "pid": 999999999, "host": "elsewhere", "since": 1.0}')
+    assert store.clear_stale_readers() == [7]
+
+
+def test_a_lock_left_behind(spark, store, monkeypatch):
+    from kvloom.sources import store as module
+
+    store.files.claim("writer.lock")
+    with pytest.raises(E.Conflict):
+        store.write_txn(wait=False)
+    monkeypatch.setattr(module, "LEASE", -1.0)
+    with store.write_txn() as txn:
+        txn.put(b"a", b"1")
+    assert store.read_txn().get(b"a") == b"1" and not store.files.exists("writer.lock")
+
+
+def test_a_bulk_log_is_run_once_and_checked(spark, store):
+    from pyspark.sql import functions as F
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    log = spark.range(100).selectExpr("id AS seq", "'put' AS op", "encode(lpad(CAST(id AS STRING), 5, '0'), 'UTF-8') AS key", "encode('v', 'UTF-8') AS value")
+    log = log.mapInArrow(seen, log.schema)
+    with store.write_txn() as txn:
+        txn.put(b"00003", b"before")
+        txn.apply(log)
+        txn.put(b"00004", b"after")
+    assert runs.value == 100 and store.read_txn().count() == 100
+    assert store.read_txn().get(b"00003") == b"v" and store.read_txn().get(b"00004") == b"after"
+    for bad, error in ((log.withColumn("key", F.lit(b"")), E.InvalidOperation), (log.withColumn("key", F.lit(b"k" * 512)), E.BadValueSize)):
+        with pytest.raises(error), store.write_txn() as txn:
+            txn.apply(bad)
+    assert store.read_txn().count() == 100 and not [n for n in store.files.names("tables/main") if "v00000000000000000003" in n]
+
+
+def test_conditional_operations_without_a_look(store):
+    with store.write_txn() as txn:
+        txn.put(b"a", b"1")
+    with store.write_txn() as txn:
+        assert txn.put_no_overwrite(b"a", b"x", tell=False) is None and txn.put_no_overwrite(b"b", b"2", tell=False) is None
+        assert txn.update(b"b", b"3", tell=False) is None and txn.update(b"c", b"4", tell=False) is None and txn.delete(b"none", tell=False) is None
+    assert items(store.read_txn()) == {b"a": b"1", b"b": b"3"}
+
+
+def test_growth_durability_and_sync(spark, tmp_path):
+    from kvloom.functions.capacity import Growth
+
+    store = Store(spark, f"file://{tmp_path}/s", quota=1000, growth=Growth(2.0, 4096, 1 << 20, 90.0, 1 << 16), durability="no_sync")
+    for i in range(4):
+        with store.write_txn() as txn:
+            txn.put(b"k%d" % i, b"v" * 100)
+    assert store.latest()["quota"] > 1000
+    store.sync()
+    assert Store(spark, store.root).read_txn().count() == 4
+
+
+def test_validation(spark, store):
+    with store.write_txn() as txn:
+        txn.put(b"a", b"1")
+    assert store.validate().where("problems > 0").count() == 0
+    store.require_sound()
+    path = store.latest()["tables"]["main"]["path"]
+    spark.createDataFrame([(bytearray(b"a"), bytearray(b"1"))], "key binary, value binary").write.mode("append").parquet(f"{store.root}/{path}")
+    assert {r["check"] for r in store.validate().where("problems > 0").collect()} >= {"repeated keys", "missing rows"}
+    with pytest.raises(E.Corruption):
+        store.require_sound()

@@ -67,3 +67,35 @@ def test_empty_log_and_base(spark):
     assert write.fold(base, log).count() == 0
     assert write.append_check(base, base).first()["can_append"]
     assert dup.lengths(base).first() == (0, 0)
+
+
+def test_repeated_keys_are_settled_or_refused(spark):
+    base = spark.createDataFrame([("1", "a"), ("9", "i")], "key string, value string")
+    rows = spark.createDataFrame([("1", "x", 0), ("1", "y", 1), ("2", "q", 5), ("2", "z", 4)], "key string, value string, seq long")
+    got = lambda d: sorted(tuple(r) for r in d.select("key", "value").collect())
+    assert got(write.put(base, rows)) == [("1", "y"), ("2", "q"), ("9", "i")]
+    assert got(write.put_no_overwrite(base, rows)) == [("1", "a"), ("2", "z"), ("9", "i")]
+    assert got(write.update(base, rows)) == [("1", "y"), ("9", "i")]
+    for f in (write.put, write.update):
+        with pytest.raises(Exception, match="more than once"):
+            f(base, rows.drop("seq")).collect()
+
+
+def test_rows_that_no_operation_names_are_not_shuffled(spark, tmp_path):
+    spark.range(2000).selectExpr("CAST(id AS STRING) AS key", "'v' AS value").write.parquet(f"{tmp_path}/base")
+    spark.createDataFrame([(i, "put", str(i), "w") for i in range(5)], LOG).write.parquet(f"{tmp_path}/log")
+    out = write.fold(spark.read.parquet(f"{tmp_path}/base"), spark.read.parquet(f"{tmp_path}/log"))
+    assert out.count() == 2000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("parts", ["1", "4"])
+def test_places_in_a_hot_set(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = [("hot", i * 7 % 500) for i in range(500)] + [(f"k{i}", j) for i in range(20) for j in range(i % 4)]
+        got = {(r["key"], r["value"]): r["rn"] for r in dup.numbered(spark.createDataFrame(rows + rows[:50], "key string, value int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {(k, v): sorted(x for q, x in set(rows) if q == k).index(v) + 1 for k, v in set(rows)}
