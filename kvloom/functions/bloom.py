@@ -65,3 +65,28 @@ def maybe(probes: DataFrame, key: str, filter_: DataFrame, shape: Shape) -> Data
 def exact(probes: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Distinct probes that are keys."""
     return probes.select(key).distinct().join(keys.select(key), key, "left_semi")
+
+
+def leaf_filters(keys: DataFrame, key: str, leaf: str, shape: Shape) -> DataFrame:
+    """(leaf, word, bits): one filter for each leaf, and under a null leaf the root's, which covers all."""
+    each = keys.select(F.col(leaf).alias("leaf"), F.explode(shape.places(F.col(key))).alias("p"))
+    both = each.unionByName(each.withColumn("leaf", F.lit(None).cast(each.schema["leaf"].dataType)))
+    return both.groupBy("leaf", F.floor(F.col("p") / F.lit(64.0)).cast("long").alias("word")).agg(F.bit_or(_bit(F.col("p"))).alias("bits"))
+
+
+def maybe_in_leaf(probes: DataFrame, key: str, leaf: str, filters: DataFrame, shape: Shape) -> DataFrame:
+    """(key, leaf, maybe) of distinct probes: false where the root or the leaf rules the key out; a leaf without a filter rules nothing out."""
+    asked = probes.select(F.col(key).alias("_k"), F.col(leaf).alias("_leaf")).distinct()
+    places = asked.select("_k", "_leaf", F.explode(F.array_distinct(shape.places(F.col("_k")))).alias("_p")).withColumn("word", F.floor(F.col("_p") / F.lit(64.0)).cast("long"))
+    root = filters.where("leaf IS NULL").select("word", F.col("bits").alias("_root"))
+    own = filters.where("leaf IS NOT NULL").select(F.col("leaf").alias("_leaf"), "word", F.col("bits").alias("_own"))
+    known = own.select("_leaf").distinct().withColumn("_known", F.lit(True))
+    met = places.join(root, "word", "left").join(own, ["_leaf", "word"], "left").join(known, "_leaf", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(0)).bitwiseAND(_bit(F.col("_p"))) != 0
+    found = met.groupBy("_k", "_leaf").agg(F.min(has("_root") & (F.col("_known").isNull() | has("_own"))).alias("maybe"))
+    return found.select(F.col("_k").alias(key), F.col("_leaf").alias(leaf), "maybe")
+
+
+def flat_shape(keys: int) -> Shape:
+    """Ten bits a key, rounded up to a power of two, and four hashes."""
+    return Shape(1 << max(6, (10 * max(keys, 1) - 1).bit_length()), 4)

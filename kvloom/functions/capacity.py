@@ -18,6 +18,10 @@ PATTERN_SIZES = {"random": "small", "mixed": "medium", "sequential": "large", "b
 # Fullest a page may get by its number of keys, and when it splits.
 ROOM = ((5, 0.98), (15, 0.96), (30, 0.94))
 ROOM_REST, SPLIT_AT = 0.92, 0.85
+# How full inserts make a page, and bytes that they keep free.
+FILL, LEAST_FREE = 0.9, 64
+# Bytes of a page header, a branch header and a key's pointer; bytes a second from which pages may be large.
+HEADER, BRANCH_HEADER, POINTER, THROUGHPUT = 40, 8, 2, 10_000_000
 
 
 def whole(c: Column) -> Column:
@@ -182,6 +186,44 @@ def should_split(used: Column) -> Column:
     return utilization(used) >= SPLIT_AT
 
 
+def has_space(used: Column, entry: Column, fill: float = FILL, least_free: int = LEAST_FREE) -> Column:
+    """Whether a page under a fill factor, with so many bytes kept free, takes an entry."""
+    free = F.lit(PAGE_DATA) - used
+    usable = F.lit(int(PAGE_DATA * fill))
+    return (used + entry <= usable) & (free >= entry + least_free) & (free >= entry + POINTER)
+
+
+def overflow_ref(page: Column, count: Column) -> Column:
+    """Twelve little-endian bytes: first page, number of pages."""
+    turned = lambda c, n: F.reverse(F.regexp_extract_all(F.lpad(F.hex(c.cast("long")), 2 * n, "0"), F.lit("(..)")))
+    return F.unhex(F.array_join(F.concat(turned(page, 8), turned(count, 4)), ""))
+
+
+def from_overflow_ref(ref: Column) -> tuple[Column, Column]:
+    """(first page, number of pages) of a reference; null for fewer than twelve bytes."""
+    pairs = F.regexp_extract_all(F.hex(ref), F.lit("(..)"))
+    number = lambda a, n: F.conv(F.array_join(F.reverse(F.slice(pairs, a, n)), ""), 16, 10).cast("long")
+    return tuple(F.when(F.octet_length(ref) >= 12, number(a, n)) for a, n in ((1, 8), (9, 4)))
+
+
+def check_header(kind: Column, lower: Column, upper: Column, keys: Column, overflow: Column) -> Column:
+    """What is wrong with a page header first, or null. ``kind`` is the page's type, or null for none or several."""
+    room = F.greatest(lower - HEADER, F.lit(0))
+    needed = F.when(kind == "branch", keys * POINTER + BRANCH_HEADER).otherwise(keys * POINTER)
+    return (
+        F.when(kind.isNull(), "page type").when(lower < HEADER, "lower below header").when(upper > PAGE, "upper beyond page").when(lower > upper, "lower beyond upper")
+        .when(kind.isin("branch", "leaf") & (needed > room), "too many keys").when((kind == "overflow") & (overflow == 0), "no overflow pages")
+    )
+
+
+def adapted(pattern: Column, mean: Column, throughput: Column) -> Column:
+    """Name of the page size for a workload: small below ``THROUGHPUT`` bytes a second; else by values, and by pattern too where access is in order."""
+    by_value, by_pattern = page_size_of_values(mean), page_size_of_pattern(pattern)
+    size = lambda name: F.coalesce(*[F.when(name == n, F.lit(b)) for n, b in PAGE_SIZES.items()])
+    larger = F.when(size(by_pattern) > size(by_value), by_pattern).otherwise(by_value)
+    return F.when(throughput < THROUGHPUT, "small").when(pattern.isin("sequential", "bulk"), larger).otherwise(by_value)
+
+
 def split_point(entries: Column, append: bool, adaptive: bool, fill: float) -> Column:
     """Entries that stay on the left page."""
     if append and adaptive:

@@ -63,6 +63,11 @@ def from_unsigned_be(c: Column) -> Column:
     return F.when(F.octet_length(c) == 8, F.conv(F.hex(c), 16, 10).cast("decimal(20,0)"))
 
 
+def compare_bytes(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by unsigned bytes, a prefix before what it begins."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
 @dataclass(frozen=True)
 class Codec:
     """A named pair of Column functions; names are kept in the catalog."""

@@ -59,6 +59,11 @@ def file_ranges(t: DataFrame) -> DataFrame:
     return t.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("entries"), F.min("key").alias("low"), F.max("key").alias("high"))
 
 
+def leaf_entries(t: DataFrame) -> DataFrame:
+    """(file, key, value) in hexadecimal: what the files behind a table hold, as it lies there."""
+    return t.select(F.input_file_name().alias("file"), F.hex("key").alias("key"), F.hex("value").alias("value"))
+
+
 def overlapping_files(t: DataFrame) -> DataFrame:
     """Files whose key range begins inside that of a file before; none in a table written in key order. One row a file is put in order."""
     before = F.max("high").over(W.orderBy("low", "high", "file").rowsBetween(W.unboundedPreceding, -1))

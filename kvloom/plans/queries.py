@@ -134,9 +134,9 @@ def kv_prev(spark, d):
     return read.prev_of(even_orders(spark, d), 500)
 
 
-@query("SELECT n_nationkey AS key, n_name AS value, lag(n_nationkey) OVER (ORDER BY n_nationkey) AS prev_key, lead(n_nationkey) OVER (ORDER BY n_nationkey) AS next_key FROM nation")
+@query(f"SELECT key, value, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM {ORDERS_SQL}")
 def kv_neighbours(spark, d):
-    return read.neighbours(kv(spark, d, "nation", "n_nationkey", "n_name"))
+    return read.neighbours(orders(spark, d))
 
 
 @query(f"""SELECT p.probe_id, p.probe, o.key, o.value FROM (SELECT event_id AS probe_id, user_id * 7 AS probe FROM events) p
@@ -152,19 +152,12 @@ def kv_batched_seek(spark, d):
 
 @query("SELECT p_partkey AS key, p_name AS value, row_number() OVER (ORDER BY p_partkey) AS rn FROM part")
 def kv_full_scan(spark, d):
-    t = part(spark, d)
-    return positions(t)
+    return read.positions(part(spark, d))
 
 
-def positions(t: DataFrame, order=LEXICOGRAPHIC) -> DataFrame:
-    """Rows with their place in order, counted inside key ranges and shifted by the ranges before."""
-    from pyspark.sql.window import Window as W
-
-    ranged = read.ranged(t, order)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(*order.by(F.col("key")))))
-    return own.join(F.broadcast(before), "_part").withColumn("rn", (F.col("_before") + F.col("_rn")).cast("long")).drop("_part", "_before", "_rn")
+@query("SELECT p_partkey AS key, p_name AS value, row_number() OVER (ORDER BY p_partkey DESC) AS rn FROM part")
+def kv_reverse_scan(spark, d):
+    return read.positions(part(spark, d), LEXICOGRAPHIC.reversed())
 
 
 @query("SELECT p_partkey AS key, p_name AS value FROM part ORDER BY 1 DESC LIMIT 25")
@@ -289,18 +282,6 @@ def kv_fold_with_clear(spark, d):
     return write.fold(customer(spark, d), log)
 
 
-@query(FOLD_SQL.format(log=LOG_SQL + " WHERE event_id < 2500"))
-def kv_read_your_writes(spark, d):
-    return write.fold(customer(spark, d), event_log(spark, d).where("seq < 2500"))
-
-
-@query(FOLD_SQL.format(log=LOG_SQL))
-def batch_group_commit(spark, d):
-    from kvloom.streaming.group_commit import fold_batches
-
-    return fold_batches(customer(spark, d), event_log(spark, d), 1000)
-
-
 # sets of values
 
 
@@ -396,7 +377,7 @@ def ranked(name: str, key: str, order, sql_order: str):
     """Register a query that gives every distinct key's rank in an order."""
 
     def run(spark, d):
-        return positions(table(spark, d, name).select(F.col(key).alias("key")).distinct(), order)
+        return read.positions(table(spark, d, name).select(F.col(key).alias("key")).distinct(), order)
 
     return run, f"SELECT key, row_number() OVER (ORDER BY {sql_order}) AS rn FROM (SELECT DISTINCT {key} AS key FROM {name})"
 
@@ -414,7 +395,7 @@ for _name, _table, _key, _order, _sql in (
 @query("SELECT lower(p_type) AS same, count(*) AS n, dense_rank() OVER (ORDER BY lower(p_type)) AS rn FROM part GROUP BY 1")
 def ord_case_insensitive(spark, d):
     same = table(spark, d, "part").groupBy(CASE_INSENSITIVE.same(F.col("p_type")).alias("same")).agg(F.count("*").alias("n"))
-    return positions(same.withColumn("key", F.col("same")), CASE_INSENSITIVE).drop("key")
+    return read.positions(same.withColumn("key", F.col("same")), CASE_INSENSITIVE).drop("key")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 7000 THEN lpad(hex(o_orderkey - 7000), 16, '0') ELSE lpad(hex(CAST(18446744073709551616 + CAST(o_orderkey - 7000 AS HUGEINT) AS UHUGEINT)), 16, '0') END AS hex FROM orders")
@@ -437,83 +418,6 @@ def key_utf8(spark, d):
     return c.select(F.col("c_custkey").alias("id"), F.hex(key).alias("hex"), codec.utf8_decode(key).alias("back"))
 
 
-# catalog and versions
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS entries FROM {t}" for t in TABLES))
-def cat_list(spark, d):
-    out = None
-    for t in TABLES:
-        one = table(spark, d, t).agg(F.count("*").alias("entries")).select(F.lit(t).alias("name"), "entries")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def small_store(spark, d):
-    """A store in the session's scratch folder with nations, then a second version of them."""
-    import tempfile
-    import uuid
-
-    from kvloom.sources.store import Store
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    store = Store(spark, f"{root}/kv-{uuid.uuid4().hex}")
-    n = table(spark, d, "nation")
-    log = n.select(F.col("n_nationkey").cast("long").alias("seq"), F.lit("put").alias("op"), codec.be_ordered(F.col("n_nationkey")).alias("key"), codec.utf8_encode(F.col("n_name")).alias("value"))
-    with store.write_txn() as txn:
-        txn.apply(log)
-    return store, log
-
-
-def shown(t):
-    return t.select(codec.from_be_ordered(F.col("key")).alias("key"), codec.utf8_decode(F.col("value")).alias("value"))
-
-
-CHANGED_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS key, CASE WHEN n_nationkey % 3 = 0 THEN concat('changed-', n_name) ELSE n_name END AS value FROM nation WHERE n_nationkey % 5 <> 1"
-
-
-def change(store, log):
-    """Every third nation gets a new value, every fifth but one goes."""
-    number = codec.from_be_ordered(F.col("key"))
-    puts = log.where(number % 3 == 0).withColumn("value", codec.utf8_encode(F.concat(F.lit("changed-"), codec.utf8_decode(F.col("value")))))
-    gone = log.where(number % 5 == 1).select((F.col("seq") + 1000).alias("seq"), F.lit("delete").alias("op"), "key", F.lit(None).cast("binary").alias("value"))
-    return puts.unionByName(gone)
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS value FROM nation")
-def txn_snapshot_old(spark, d):
-    store, log = small_store(spark, d)
-    reader = store.read_txn()
-    with store.write_txn() as txn:
-        txn.apply(change(store, log))
-    return shown(reader.table())
-
-
-@query(CHANGED_SQL)
-def txn_snapshot_new(spark, d):
-    store, log = small_store(spark, d)
-    with store.write_txn() as txn:
-        txn.apply(change(store, log))
-    return shown(store.read_txn().table())
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS value FROM nation")
-def txn_abort(spark, d):
-    store, log = small_store(spark, d)
-    txn = store.write_txn()
-    txn.apply(change(store, log))
-    txn.abort()
-    return shown(store.read_txn().table())
-
-
-@query(CHANGED_SQL)
-def store_compact_copy(spark, d):
-    store, log = small_store(spark, d)
-    with store.write_txn() as txn:
-        txn.apply(change(store, log))
-    return shown(store.copy(f"{store.root}-copy", compact=True).read_txn().table())
-
-
 # aggregates and arithmetic
 
 
@@ -681,15 +585,18 @@ def bloom_merge(spark, d):
     return o.agg(F.countDistinct("key").alias("keys")).join(F.broadcast(found)).select("keys", (F.col("keys") - F.col("found")).cast("int").alias("missed"))
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS code, '{e}' AS error" for c, e in errors.CODES.items()))
+@query("""SELECT code, error FROM (VALUES (2, 'NotFound'), (5, 'Io'), (12, 'Io'), (13, 'Io'), (16, 'Io'), (22, 'InvalidParameter'), (28, 'MapFull'), (-30799, 'KeyNotFound'), (-30798, 'PageNotFound'),
+(-30797, 'Corruption'), (-30796, 'Custom'), (-30795, 'VersionMismatch'), (-30794, 'InvalidDatabase'), (-30793, 'MapFull'), (-30792, 'MapFull'), (-30791, 'ReadersFull'), (-30788, 'TxnFull'), (-30787, 'Custom'),
+(-30786, 'Custom'), (-30785, 'MapFull'), (-30784, 'InvalidOperation'), (-30783, 'BadTransaction'), (-30782, 'BadTransaction'), (-30781, 'InvalidParameter'), (-30780, 'InvalidDatabase')) t(code, error)""")
 def kv_error_codes(spark, d):
     return errors.code_table(spark)
 
 
-@query("SELECT count(*) AS readers, min(user_id) AS oldest_txn, count(*) FILTER (1000.0 - CAST(event_id AS DOUBLE) > 300.0) AS stale, max(1000.0 - CAST(event_id AS DOUBLE)) AS oldest_age FROM events WHERE event_id < 1000")
-def reader_table(spark, d):
-    slots = table(spark, d, "events").where("event_id < 1000").select(F.col("event_type").alias("pid"), F.col("user_id").alias("txn_id"), F.col("event_id").cast("double").alias("since"))
-    return stats.readers(slots, 1000.0)
+@query("SELECT count(*) AS readers, min(user_id) AS oldest_txn, count(*) FILTER (m - event_id > 300) AS stale, max(CAST(m - event_id AS DOUBLE)) AS oldest_age FROM events, (SELECT max(event_id) AS m FROM events)")
+def reader_ages(spark, d):
+    e = table(spark, d, "events")
+    now = e.agg(F.max("event_id")).first()[0]
+    return stats.readers(e.select(F.col("event_type").alias("pid"), F.col("user_id").alias("txn_id"), F.col("event_id").cast("double").alias("since")), float(now))
 
 
 CHUNK = 4056
@@ -703,3 +610,85 @@ def large_value_chunks(spark, d):
     return each.select("id", "chunk", F.substring("text", (F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("part"))
 
 
+# arithmetic on pages
+
+
+@query(f"SELECT id, CASE WHEN m // 4096 > 0 THEN CAST(n // 2 AS DOUBLE) / CAST(m // 4096 AS DOUBLE) * 100.0 ELSE 0.0 END >= 30.0 AS near FROM {SIZES_SQL}")
+def near_capacity(spark, d):
+    return sizes(spark, d).select("id", capacity.near_capacity(F.floor(F.col("n") / F.lit(2.0)).cast("long"), F.col("m"), 30.0).alias("near"))
+
+
+@query("SELECT page_id AS id, strlen(html) <= 17420387450520 AS fits FROM pages")
+def max_value_size(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), (F.octet_length("html") <= F.lit(capacity.MAX_VALUE)).alias("fits"))
+
+
+@query("""SELECT id, concat(array_to_string([substr(p, 15 - 2 * i, 2) FOR i IN range(0, 8)], ''), array_to_string([substr(c, 7 - 2 * i, 2) FOR i IN range(0, 4)], '')) AS ref, first_page, pages
+FROM (SELECT p_partkey AS id, p_partkey * 1000003 AS first_page, CAST(p_size AS BIGINT) AS pages, lpad(hex(p_partkey * 1000003), 16, '0') AS p, lpad(hex(CAST(p_size AS BIGINT)), 8, '0') AS c FROM part)""")
+def overflow_refs(spark, d):
+    ref = capacity.overflow_ref(F.col("p_partkey") * 1000003, F.col("p_size"))
+    first, count = capacity.from_overflow_ref(ref)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.hex(ref).alias("ref"), first.alias("first_page"), count.alias("pages"))
+
+
+@query("SELECT id, used, entry, used + entry <= 3650 AND 4056 - used >= entry + 64 AS space FROM (SELECT p_partkey AS id, p_partkey * 37 % 4057 AS used, CAST(p_size * 20 AS BIGINT) AS entry FROM part)")
+def page_has_space(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 4057).alias("used"), (F.col("p_size") * 20).cast("long").alias("entry"))
+    return p.select("id", "used", "entry", capacity.has_space(F.col("used"), F.col("entry")).alias("space"))
+
+
+HEADERS_SQL = "(SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'branch' WHEN 1 THEN 'leaf' WHEN 2 THEN 'overflow' WHEN 3 THEN 'meta' END AS kind, p_partkey * 7 % 200 AS lower, p_partkey * 11 % 5000 AS upper, CAST(p_size AS BIGINT) AS keys, p_partkey % 3 AS overflow FROM part)"
+
+
+@query(f"""SELECT id, CASE WHEN kind IS NULL THEN 'page type' WHEN lower < 40 THEN 'lower below header' WHEN upper > 4096 THEN 'upper beyond page' WHEN lower > upper THEN 'lower beyond upper'
+WHEN (kind = 'leaf' AND keys * 2 > lower - 40) OR (kind = 'branch' AND keys * 2 + 8 > lower - 40) THEN 'too many keys' WHEN kind = 'overflow' AND overflow = 0 THEN 'no overflow pages' END AS wrong FROM {HEADERS_SQL}""")
+def page_headers(spark, d):
+    n = F.col("p_partkey")
+    kind = F.when(n % 5 == 0, "branch").when(n % 5 == 1, "leaf").when(n % 5 == 2, "overflow").when(n % 5 == 3, "meta")
+    p = table(spark, d, "part").select(n.alias("id"), kind.alias("kind"), (n * 7 % 200).alias("lower"), (n * 11 % 5000).alias("upper"), F.col("p_size").cast("long").alias("keys"), (n % 3).alias("overflow"))
+    return p.select("id", capacity.check_header(*(F.col(c) for c in ("kind", "lower", "upper", "keys", "overflow"))).alias("wrong"))
+
+
+@query("""SELECT id, CASE WHEN through < 10000000 THEN 'small' WHEN pattern IN ('sequential', 'bulk') THEN CASE WHEN pattern = 'bulk' THEN 'huge' WHEN mean > 8192 THEN 'huge' ELSE 'large' END
+WHEN mean <= 128 THEN 'small' WHEN mean <= 1024 THEN 'medium' WHEN mean <= 8192 THEN 'large' ELSE 'huge' END AS page_size
+FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'random' WHEN 1 THEN 'sequential' WHEN 2 THEN 'bulk' ELSE 'mixed' END AS pattern, p_partkey * 13 % 12000 AS mean, p_size * 1000000 AS through FROM part)""")
+def page_size_adapted(spark, d):
+    n = F.col("p_partkey")
+    pattern = F.when(n % 4 == 0, "random").when(n % 4 == 1, "sequential").when(n % 4 == 2, "bulk").otherwise("mixed")
+    return table(spark, d, "part").select(n.alias("id"), capacity.adapted(pattern, n * 13 % 12000, F.col("p_size") * 1_000_000).alias("page_size"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS c FROM (SELECT s_suppkey, encode(s_name) AS a, encode(concat('Supplier#0000000', CAST(s_nationkey AS VARCHAR))) AS b FROM supplier)")
+def compare_bytes(spark, d):
+    a, b = codec.utf8_encode(F.col("s_name")), codec.utf8_encode(F.concat(F.lit("Supplier#0000000"), F.col("s_nationkey").cast("string")))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), codec.compare_bytes(a, b).alias("c"))
+
+
+@query("SELECT count(*) AS pairs, 0 AS missed FROM (SELECT DISTINCT l_orderkey, l_suppkey % 16 FROM lineitem)")
+def bloom_leaves(spark, d):
+    """A filter for each of sixteen leaves and one for all: no pair that is there is ruled out."""
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_suppkey") % 16).alias("leaf")).distinct()
+    shape = bloom.Shape.of(100, 0.02)
+    filters = bloom.leaf_filters(pairs, "key", "leaf", shape)
+    found = bloom.maybe_in_leaf(pairs, "key", "leaf", filters, shape)
+    return found.agg(F.count("*").alias("pairs"), F.count_if(~F.col("maybe")).cast("int").alias("missed"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS keys, true AS all_found FROM orders")
+def bloom_flat(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    shape = bloom.flat_shape(20_000)
+    found = bloom.maybe(o, "key", bloom.build(o, "key", shape), shape).agg(F.count("*").alias("found"))
+    return o.agg(F.countDistinct("key").alias("keys")).join(F.broadcast(found)).select("keys", (F.col("keys") == F.col("found")).alias("all_found"))
+
+
+@query("SELECT count(*) AS rows, CAST(sum(8 + strlen(c_name)) AS BIGINT) AS bytes FROM customer")
+def read_counters(spark, d):
+    """Rows and bytes counted by an action on its way, not by one of their own."""
+    t = table(spark, d, "customer").select(codec.be_ordered(F.col("c_custkey")).alias("key"), codec.utf8_encode(F.col("c_name")).alias("value"))
+    counted, seen = stats.observed(t)
+    counted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows long, bytes long")
+
+
+from kvloom.plans import stores  # noqa: E402,F401  registers its queries here

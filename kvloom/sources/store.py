@@ -538,6 +538,15 @@ class WriteTxn(Txn):
         self._write_rows(name)
         self._write(name, log.select(F.col("seq").cast("long").alias("seq"), op.alias("op"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
 
+    def append(self, rows: DataFrame, name: str = MAIN) -> None:
+        """Stage rows (key, value) that must all lie behind the last key, in the table's order."""
+        order, k = self.order(name), F.col("key")
+        pick, there = (F.min, F.max) if not order.descending else (F.max, F.min)
+        high, low = (d.agg(f(order.rank(k)).alias("r")).first()["r"] for d, f in ((self.table(name), there), (rows, pick)))
+        if high is not None and low is not None and (low >= high if order.descending else low <= high):
+            raise InvalidOperation("keys to append do not lie behind the last one")
+        self.apply(rows.select(F.monotonically_increasing_id().alias("seq"), F.lit("put").alias("op"), "key", "value"), name)
+
     def _write(self, name: str, log: DataFrame) -> None:
         parts = self.parts.setdefault(name, [])
         path = f"tables/{name}/v{self.number:020d}-{self.owner[:8]}-log{len(parts)}"
