@@ -6,9 +6,10 @@ of the log ratio of their smoothed probabilities; the verdict compares it with a
 so each document is judged alone and the same way every time. Base rules on length and repetition
 come first.
 
-Only DataFrame functions are used. Counting explodes bucket numbers and adds them up before the
-shuffle, so it moves at most ``BUCKETS`` rows a task; the log ratios are ``BUCKETS`` numbers, whatever
-the input, and go into the scoring plan as one literal.
+Only DataFrame functions are used. The number of buckets grows with the square root of the corpus, as
+its vocabulary does, so n-grams to a bucket stay about as many (``buckets_for``). Counting explodes
+bucket numbers and adds them up before the shuffle, so it moves at most one row a bucket and task; the
+log ratios go into the scoring plan as one literal, 8 bytes a bucket.
 
 Defined results: null and empty texts have no words and fail the base rule; a document without
 n-grams has score 0; repeated rows are judged alike; long texts are counted whole; without trusted
@@ -23,8 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of the multinomials.
-BUCKETS = 8192
+#: Hash buckets of the multinomials, at least, and how many to the square root of the corpus' n-grams.
+BUCKETS, TO_ROOT = 8192, 2
+#: Bytes of text to an n-gram (two a word).
+NGRAM_BYTES = 3
 #: Most trusted ids that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Pseudo-count of every bucket, in both multinomials.
@@ -45,7 +48,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def with_buckets(df: DataFrame, text: str, name: str) -> DataFrame:
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """Buckets for a corpus: a power of two."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("n")).first()["n"]
+    return max(BUCKETS, 1 << (math.ceil(TO_ROOT * math.sqrt(size / NGRAM_BYTES)) - 1).bit_length() if size else 0)
+
+
+def with_buckets(df: DataFrame, text: str, name: str, buckets: int = BUCKETS) -> DataFrame:
     """``df`` with the hashed unigrams and bigrams of each text: an array of bucket numbers.
 
     Tokens are words, with runs of two signs and more apart from the letters before them. Tokens,
@@ -53,10 +62,10 @@ def with_buckets(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     apart = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "([\\p{L}\\p{N}])([^\\p{L}\\p{N}\\s]{2,})", "$1 $2")
     d = df.withColumn("_tokens", F.array_remove(F.split(apart, SPACES), ""))
-    d = d.withColumn("_one", F.transform("_tokens", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))).drop("_tokens")
+    d = d.withColumn("_one", F.transform("_tokens", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))).drop("_tokens")
     # hashes of neighbours are combined from the unigram hashes
     n = F.size("_one")
-    two = F.zip_with(F.slice("_one", 1, n - 1), F.slice("_one", 2, n - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
+    two = F.zip_with(F.slice("_one", 1, n - 1), F.slice("_one", 2, n - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
     return d.withColumn(name, F.when(n > 1, F.concat("_one", two)).otherwise(F.col("_one"))).drop("_one")
 
 
@@ -102,20 +111,21 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     """Log ratio of target to raw probability for every bucket.
 
     ``trusted`` holds the ids of the target's documents, each once.
-    Counts are added up before and after the shuffle; at most ``BUCKETS`` rows come back.
+    Counts are added up before and after the shuffle; at most one row a bucket comes back.
     """
+    buckets = buckets_for(docs, text)
     ids = trusted.select(F.col(key).alias("_key"), F.lit(1).alias("_target"))
     few = ids.count() <= BROADCAST_IDS
     marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(ids) if few else ids, "_key", "left")
     # the outer form keeps the optimizer from adding a filter that works the buckets out once more
-    each = with_buckets(marked, "_text", "_buckets").select(F.explode_outer("_buckets").alias("bucket"), F.coalesce("_target", F.lit(0)).alias("target"))
+    each = with_buckets(marked, "_text", "_buckets", buckets).select(F.explode_outer("_buckets").alias("bucket"), F.coalesce("_target", F.lit(0)).alias("target"))
     counts = each.groupBy("bucket").agg(F.sum("target").alias("target"), F.count("*").alias("raw"))
     rows = counts.where("bucket IS NOT NULL").collect()
     n_target, n_raw = sum(r["target"] for r in rows), sum(r["raw"] for r in rows)
-    out = [0.0] * BUCKETS
+    out = [0.0] * buckets
     if n_target:
-        shift = math.log(n_raw + SMOOTH * BUCKETS) - math.log(n_target + SMOOTH * BUCKETS)
-        out = [shift] * BUCKETS
+        shift = math.log(n_raw + SMOOTH * buckets) - math.log(n_target + SMOOTH * buckets)
+        out = [shift] * buckets
         for r in rows:
             out[r["bucket"]] = math.log(r["target"] + SMOOTH) - math.log(r["raw"] + SMOOTH) + shift
     return out
@@ -131,7 +141,7 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"}
     d = base(docs.drop(*[c for c in docs.columns if c.lower() in made and c != text]), text)
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    d = with_buckets(d, text, "_buckets")
+    d = with_buckets(d, text, "_buckets", len(ratios))
     b = F.col("_buckets")
     total = F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, x))
     d = d.withColumn("llr", F.when(F.size(b) > 0, total / F.size(b)).otherwise(0.0)).drop("_buckets")
