@@ -101,6 +101,24 @@ def test_every_trusted_document_counts(spark, monkeypatch):
     assert quality_rules.log_ratios(d, quality_rules.trusted_ids(many)) == ratios
 
 
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    d, l = frames(spark, 60)
+    monkeypatch.setattr(quality_rules, "BUCKETS", 64)
+    few = quality_rules.log_ratios(d.where("doc_id < 6"), quality_rules.trusted_ids(l))
+    many = quality_rules.log_ratios(d, quality_rules.trusted_ids(l))
+    assert 64 <= len(few) < len(many) and quality_rules.buckets_for(d.limit(0)) == 64
+    rows = quality_rules.with_buckets(d, "text", "b", len(many)).collect()
+    judged = {r["doc_id"]: r["llr"] for r in quality_rules.judge(d, many).collect()}
+    assert all(np.isclose(judged[r["doc_id"]], np.array(many)[r["b"]].mean()) for r in rows)
+
+
+def test_rules_filter_above_what_they_work_out(spark):
+    """The optimizer neither moves the filter below the columns it is made of nor writes them out again."""
+    kept = quality_rules.keep(docs(spark), [0.0] * 4)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 and plan.index("Filter") < plan.index("monotonically_increasing_id")
+
+
 def test_rules_keep_good_and_drop_junk(spark):
     d, l = frames(spark)
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.digest(d, l).collect()}
