@@ -27,34 +27,46 @@ def as_log(base: DataFrame) -> DataFrame:
     return base.select(F.lit(BASE).cast("long").alias("seq"), F.lit("put").alias("op"), "key", "value")
 
 
+#: Operations whose effect depends on the state they meet.
+CONDITIONAL = ("put_no_overwrite", "update")
+
+
 def last_clear(log: DataFrame) -> DataFrame:
     """One row (clear_seq): the last clear, or a number before every row."""
     return log.where("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(BASE - 1)).cast("long").alias("clear_seq"))
 
 
-def fold(base: DataFrame, log: DataFrame, order: Order = LEXICOGRAPHIC) -> DataFrame:
-    """State (key, value) after the log.
+def fold(base: DataFrame, log: DataFrame, order: Order = LEXICOGRAPHIC, conditional: bool = True, clears: bool = True) -> DataFrame:
+    """State (key, value) after the log. A caller that knows it to be without conditional operations, or without clears, gets a shorter plan by saying so.
 
     Per key: what is before the last delete or clear does not count; the first put or
     put_no_overwrite after it brings the key into being; of that row, later puts and later updates,
     the last one holds. Keys that the order calls equal are one key, spelled as it was last put.
     """
     same = order.same(F.col("key"))
-    cleared = F.broadcast(last_clear(log))
-    ops = log.where("op <> 'clear'").select(F.col("seq").cast("long").alias("seq"), "op", "key", "value").withColumn("_same", same)
+    if clears:
+        cleared = F.broadcast(last_clear(log))
+        after = lambda rows: rows.join(cleared).where("seq > clear_seq").drop("clear_seq")
+        log = log.where("op <> 'clear'")
+    else:
+        after = lambda rows: rows
+    ops = log.select(F.col("seq").cast("long").alias("seq"), "op", "key", "value").withColumn("_same", same)
     named = ops.select("_same").distinct()
-    old = as_log(base).withColumn("_same", same).join(cleared).where("seq > clear_seq").drop("clear_seq")
+    old = after(as_log(base).withColumn("_same", same))
     untouched = old.join(named, "_same", "left_anti").select("key", "value")
-    every = old.join(named, "_same", "left_semi").unionByName(ops.join(cleared).where("seq > clear_seq").drop("clear_seq"))
+    every = after(ops)
+    if conditional:
+        every = old.join(named, "_same", "left_semi").unionByName(every)
     seq_of = lambda *names: F.when(F.col("op").isin(*names), F.col("seq"))
     facts = every.groupBy("_same").agg(F.max(seq_of("delete")).alias("gone"), F.max(seq_of("put")).alias("put"), F.count(seq_of("put_no_overwrite", "update")).alias("conditional"))
-    plain = facts.where("conditional = 0 AND put IS NOT NULL AND (gone IS NULL OR put > gone)").select("_same", F.col("put").alias("seq"), F.col("put").alias("spelled"))
-    # keys with conditional operations need the state at their time
-    open_ = every.select("_same", "seq", "op").join(facts.where("conditional > 0").select("_same", "gone"), "_same").where("op <> 'delete' AND (gone IS NULL OR seq > gone)")
-    born = open_.groupBy("_same").agg(F.min(seq_of("put", "put_no_overwrite")).alias("born"))
-    counted = open_.join(born, "_same").where("seq = born OR op = 'put' OR (op = 'update' AND seq > born)")
-    held = counted.groupBy("_same").agg(F.max("seq").alias("seq"), F.max(F.when(F.col("op") != "update", F.col("seq"))).alias("spelled"))
-    won = plain.unionByName(held).where("seq IS NOT NULL")
+    won = facts.where("conditional = 0 AND put IS NOT NULL AND (gone IS NULL OR put > gone)").select("_same", F.col("put").alias("seq"), F.col("put").alias("spelled"))
+    if conditional:
+        # keys with conditional operations need the state at their time
+        open_ = every.select("_same", "seq", "op").join(facts.where("conditional > 0").select("_same", "gone"), "_same").where("op <> 'delete' AND (gone IS NULL OR seq > gone)")
+        born = open_.groupBy("_same").agg(F.min(seq_of("put", "put_no_overwrite")).alias("born"))
+        counted = open_.join(born, "_same").where("seq = born OR op = 'put' OR (op = 'update' AND seq > born)")
+        held = counted.groupBy("_same").agg(F.max("seq").alias("seq"), F.max(F.when(F.col("op") != "update", F.col("seq"))).alias("spelled"))
+        won = won.unionByName(held).where("seq IS NOT NULL")
     rows = every.select("_same", "seq", "key", "value")
     settled = rows.drop("key").join(won, ["_same", "seq"])
     if order.by_key:

@@ -354,8 +354,9 @@ class Txn:
         t = self.check(name)
         spark, root = self.store.spark, self.store.root
         base = spark.read.schema(SCHEMA).parquet(f"{root}/{t['path']}") if t["path"] else spark.createDataFrame([], SCHEMA)
-        logs, at = [], 0
-        for path, low, high in self.log_parts(name):
+        logs, at, kinds = [], 0, [0, 0]
+        for path, low, high, *counts in self.log_parts(name):
+            kinds = [a + b for a, b in zip(kinds, counts, strict=True)]
             # numbers of a log follow those of the logs before it
             part = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/{path}") if isinstance(path, str) else path
             logs.append(part.withColumn("seq", F.col("seq") + (at - low)))
@@ -368,10 +369,10 @@ class Txn:
             log = log.unionByName(more)
         if where is not None:
             log = log.where(where | F.col("key").isNull())
-        return dup.fold(base, log) if t["dup"] else write.fold(base, log, self.order(name))
+        return dup.fold(base, log) if t["dup"] else write.fold(base, log, self.order(name), kinds[0] > 0, kinds[1] > 0)
 
     def log_parts(self, name: str) -> list:
-        """(path or rows, least number, greatest number) of the table's logs, in order."""
+        """(path or rows, least number, greatest number, conditional operations, clears) of the table's logs, in order."""
         return self.check(name)["logs"]
 
     def typed(self, name: str = MAIN) -> DataFrame:
@@ -553,7 +554,7 @@ class WriteTxn(Txn):
         seen = Observation()
         k = F.col("key")
         empty = F.sum(F.when((F.octet_length(k) == 0) | ((F.col("op") != "clear") & k.isNull()), 1).otherwise(0))
-        checked = log.observe(seen, F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), empty.alias("empty"), F.max(F.octet_length(k)).alias("k"), F.max(F.octet_length("value")).alias("v"))
+        checked = log.observe(seen, F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), empty.alias("empty"), F.max(F.octet_length(k)).alias("k"), F.max(F.octet_length("value")).alias("v"), F.count_if(F.col("op").isin(*write.CONDITIONAL)).alias("conditional"), F.count_if(F.col("op") == "clear").alias("clears"))
         # sorted as far as rows lie together: row groups have narrower key ranges, and nothing is shuffled
         checked.sortWithinPartitions("key", "seq").write.options(**self.store.write_options()).parquet(f"{self.store.root}/{path}")
         found = seen.get
@@ -567,7 +568,7 @@ class WriteTxn(Txn):
         if wrong:
             raise wrong
         if found["n"]:
-            parts.append([path, found["low"], found["high"]])
+            parts.append([path, found["low"], found["high"], found["conditional"], found["clears"]])
 
     def _write_rows(self, name: str) -> None:
         if rows := self.rows.pop(name, None):
@@ -602,7 +603,7 @@ class WriteTxn(Txn):
     def log_parts(self, name: str) -> list:
         parts = [*super().log_parts(name), *self.parts.get(name, [])]
         if rows := self.rows.get(name):
-            parts.append((self.store.spark.createDataFrame(rows, LOG_SCHEMA), 0, len(rows) - 1))
+            parts.append((self.store.spark.createDataFrame(rows, LOG_SCHEMA), 0, len(rows) - 1, sum(r[1] in write.CONDITIONAL for r in rows), sum(r[1] == "clear" for r in rows)))
         return parts
 
     def commit(self) -> int:

@@ -390,3 +390,36 @@ def test_validation(spark, store):
     assert {r["check"] for r in store.validate().where("problems > 0").collect()} >= {"repeated keys", "missing rows"}
     with pytest.raises(E.Corruption):
         store.require_sound()
+
+
+def test_large_values_as_streams(store):
+    from kvloom.sources import large
+
+    data = bytes(range(256)) * 60
+    with store.write_txn() as txn:
+        assert large.write_stream(txn, b"big", (data[i : i + 1000] for i in range(0, len(data), 1000)), size=4000) == len(data)
+        assert large.write_stream(txn, b"none", []) == 0
+    reader = store.read_txn()
+    assert large.Reader(reader, b"big").readall() == data and large.Reader(reader, b"none").read() == b"" and large.Reader(reader, b"absent").read() == b""
+    assert {bytes(r["key"]): (bytes(r["value"]), r["chunks"]) for r in large.whole(reader.table()).collect()} == {b"big": (data, 4), b"none": (b"", 1)}
+
+
+def test_batcher(store):
+    from kvloom.streaming.group_commit import Batcher
+
+    before = store.latest()["version"]
+    with Batcher(store, window=0.5) as batcher:
+        good, bad, gone = batcher.put(b"a", b"1"), batcher.put(b"", b"2"), batcher.delete(b"a")
+        assert good.result() is None and isinstance(bad.result(), E.InvalidOperation) and gone.result() is None
+    assert items(store.read_txn()) == {} and store.latest()["version"] == before + 1
+
+
+def test_appends_go_behind(spark, store):
+    rows = lambda *keys: spark.createDataFrame([(bytearray(k), bytearray(b"v")) for k in keys], "key binary, value binary")
+    with store.write_txn() as txn:
+        txn.append(rows(b"b", b"a"))
+    with store.write_txn() as txn:
+        txn.append(rows(b"c"))
+        with pytest.raises(E.InvalidOperation):
+            txn.append(rows(b"c", b"d"))
+    assert [k for k, _ in store.read_txn().items()] == [b"a", b"b", b"c"]

@@ -31,6 +31,10 @@ def test_fold_equals_model(spark, seed):
     log = spark.createDataFrame([(i, op, None if op == "clear" else k, None if op in ("clear", "delete") else v) for i, (op, k, v) in enumerate(ops)], LOG)
     got = write.fold(spark.createDataFrame(list(base.items()), "key string, value string"), log)
     assert {r["key"]: r["value"] for r in got.collect()} == model(base, ops)
+    simple = [o for o in ops if o[0] in ("put", "delete")]
+    log = spark.createDataFrame([(i, op, k, None if op == "delete" else v) for i, (op, k, v) in enumerate(simple)], LOG)
+    got = write.fold(spark.createDataFrame(list(base.items()), "key string, value string"), log, conditional=False, clears=False)
+    assert {r["key"]: r["value"] for r in got.collect()} == model(base, simple)
 
 
 @pytest.mark.parametrize("seed", range(4))
