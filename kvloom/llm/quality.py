@@ -13,15 +13,18 @@ very long text is one sparse vector; without any labelled row every score is 0.5
 from __future__ import annotations
 
 import re
+import tempfile
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField
 
 from kvloom.llm import labelled
-from kvloom.llm.common import append
+from kvloom.llm.common import append, tidy
 
 # The split that is kept back, and the threshold.
 MODULUS, KEPT_BACK, THRESHOLD = 3, 1, 0.5
@@ -33,6 +36,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: What a document's word and shape features weigh in all.
 SCALE = 6.0
 WORDS_KEPT = 150_000
+#: Bytes of packed features that the learning task keeps in memory; more go to a file.
+SPOOL_BYTES = 32 << 20
 
 RUN = re.compile(r"(.)\1+")
 SIGNS = ".,;:!?*#$%&|"
@@ -86,8 +91,8 @@ class Features:
         return np.concatenate([np.zeros(1, np.uint32), index + np.uint32(1)]), np.concatenate([np.ones(1), count * (SCALE / len(found))])
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after FTRL-proximal updates over (label, indexes, values) rows in order."""
+def ftrl(rows: Iterable[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights after FTRL-proximal updates over (label, indexes, values) rows in order, gone through once an epoch."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -104,23 +109,74 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -
     return weights(z, n)
 
 
+class Spool:
+    """Rows of one task in a file of its own (a small one stays in memory), read in order of (turn, doc_id) as often as asked."""
+
+    def __init__(self):
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)  # noqa: SIM115
+        self.places: list[tuple] = []
+
+    def add(self, turn: int, doc_id, label: int, n_words: int, data: bytes) -> None:
+        self.places.append((turn, doc_id, label, n_words, self.file.tell(), len(data)))
+        self.file.write(data)
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for _, _, label, n_words, at, size in sorted(self.places, key=lambda p: p[:2]):
+            self.file.seek(at)
+            yield label, *unpacked(self.file.read(size), n_words)
+
+
+def packed(index: np.ndarray, value: np.ndarray, n_words: int) -> bytes:
+    """Rising indexes as steps, and values as the counts that they were made of, compressed: about 2 bytes a feature."""
+    counts = np.rint(value[1:] * (n_words / SCALE)).astype("<u4")
+    return zlib.compress(np.diff(index[1:], prepend=np.uint32(0)).astype("<u4").tobytes() + counts.tobytes(), 1)
+
+
+def unpacked(data: bytes, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` packed; values are rounded to 32 bits."""
+    step, count = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+    index = np.concatenate([np.zeros(1, np.uint32), np.cumsum(step, dtype=np.uint32)])
+    value = np.concatenate([np.ones(1), count * (SCALE / n_words)] if len(count) else [np.ones(1)])
+    return index, value.astype("<f4").astype(float)
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the weights learned from all rows of a task."""
+    spool = Spool()
+    for batch in batches:
+        for r in batch.to_pylist():
+            spool.add(r["turn"], r["doc_id"], r["label"], r["n_words"], r["data"])
+    weights = ftrl(spool)
+    spool.file.close()
+    yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary())], names=["weights"])
+    tidy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights learned from a bounded sample of the labelled rows that are not held out."""
+    """Weights learned from a bounded sample of the labelled rows that are not held out.
+
+    Rows are bounded in number, not in length, so the driver never sees them: one task keeps their
+    features in a file and goes through it once an epoch. Only the weights come back.
+    """
 
     def make():
         features = Features()
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            made = [features.of(t) for t in batch.column("text").to_pylist()]
-            return {"at": pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), "value": pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())}
+            texts = batch.column("text").to_pylist()
+            n_words = [len((t or "").split()) for t in texts]
+            data = [packed(*features.of(t), n) for t, n in zip(texts, n_words, strict=True)]
+            turn = [hash((d, 7)) for d in batch.column("doc_id").to_pylist()]
+            # the text goes no further
+            return {"text": pa.nulls(len(texts), pa.string()), "turn": pa.array(turn, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "data": pa.array(data, pa.binary())}
 
         return step
 
     chosen = labelled.sample(docs, labels, "quality", MODULUS, KEPT_BACK, train_rows)
-    made = append(chosen, [StructField("at", BinaryType()), StructField("value", BinaryType())], make)
-    got = made.select("doc_id", "label", "at", "value").toArrow().to_pylist()
-    got.sort(key=lambda r: (hash((r["doc_id"], 7)), r["doc_id"]))
-    return ftrl([(r["label"], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["value"], "<f4").astype(float)) for r in got])
+    fields = [StructField("text", StringType()), StructField("turn", LongType()), StructField("n_words", LongType()), StructField("data", BinaryType())]
+    made = append(chosen, fields, make).select("turn", "doc_id", "label", "n_words", "data")
+    got = made.repartition(1).mapInArrow(learned, "weights binary").collect()
+    return np.frombuffer(got[0]["weights"], "<f8") if got else ftrl([])
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "quality_score") -> DataFrame:

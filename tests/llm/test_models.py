@@ -92,6 +92,20 @@ def test_quality_scores_equal_plain_updates(spark):
         assert math.isclose(r["score"], want, abs_tol=1e-4) and r["held_out"] == held(r["doc_id"], 3, 1)
 
 
+def test_quality_rows_come_back_from_the_spool(monkeypatch):
+    """In order of turn, whole and as often as asked, whether they lie in memory or in a file."""
+    features = quality.Features()
+    rows = [(hash((i, 7)), i, i % 2, len((t or "").split()), *features.of(t)) for i, t in enumerate(TEXTS)]
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(quality, "SPOOL_BYTES", most)
+        spool = quality.Spool()
+        for turn, i, label, n, index, value in rows:
+            spool.add(turn, i, label, n, quality.packed(index, value, n))
+        for _ in range(2):
+            for (*_, label, _, index, value), got in zip(sorted(rows, key=lambda r: r[:2]), spool, strict=True):
+                assert got[0] == label and got[1].tolist() == index.tolist() and got[2].tolist() == value.astype("<f4").tolist()
+
+
 def held(i, modulus, kept_back):
     import zlib
 

@@ -1,5 +1,7 @@
 """The pipeline against a plain version of each stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,21 @@ def test_classifier_learns_from_documents_that_the_rules_dropped(spark):
     came = start.join(good.unionByName(unseen), "doc_id", "left_semi").select(*start.columns).cache()
     kept = corpus_pipeline.by_classifier(spark, came, SF).cache()
     assert unseen.count() > 0 and kept.join(bad, "doc_id", "left_semi").count() == 0 and kept.count() == good.count()
+
+
+def test_classifier_learns_from_long_documents_within_the_drivers_limit(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ba", "de", "fi", "go") for c in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=20_000)), i % 2) for i in range(60)]
+    texts = [(i, ("Good. " if q else "### $$ ") * 3000 + t) for i, t, q in rows]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(key, "1g")
+    # the features of the rows learned from take more, the weights 2 MB
+    conf.set(key, "4m")
+    try:
+        kept = corpus_pipeline.by_classifier(spark, table(spark, str(tmp_path), "documents"), str(tmp_path)).select("doc_id").collect()
+    finally:
+        conf.set(key, before)
+    assert sorted(r["doc_id"] for r in kept) == [i for i, _, q in rows if q]
