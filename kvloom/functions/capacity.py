@@ -108,13 +108,13 @@ def preflight(required: Column, available: Column, warn_percent: int | None) ->
 
 @dataclass(frozen=True)
 class Growth:
-    """When and by how much a map grows."""
+    """When and by how much a map grows; without a limit (None) it grows on."""
 
     factor: float
     least: int
     most: int
     threshold: float
-    limit: int
+    limit: int | None
     enabled: bool = True
 
     def needed(self, used: Column, total: Column) -> Column:
@@ -124,14 +124,16 @@ class Growth:
         """Next map size in bytes; null where the limit is reached already."""
         more = F.least(F.greatest(whole(size.cast("double") * self.factor - size.cast("double")), F.lit(self.least)), F.lit(self.most))
         grown = size.cast("long") + more
+        if self.limit is None:
+            return div_up(grown, PAGE) * PAGE
         return F.when((grown > self.limit) & (size >= self.limit), F.lit(None)).when(grown > self.limit, F.lit(self.limit)).otherwise(div_up(grown, PAGE) * PAGE)
 
     def after(self, used: int, size: int) -> int | None:
         """The size that a full map grows to, once; None where it need not or cannot grow."""
-        if not self.enabled or size <= 0 or used / size * 100.0 < self.threshold or size >= self.limit:
+        if not self.enabled or size <= 0 or used / size * 100.0 < self.threshold or self.limit is not None and size >= self.limit:
             return None
         grown = size + min(max(int(size * self.factor - size), self.least), self.most)
-        return self.limit if grown > self.limit else -(-grown // PAGE) * PAGE
+        return self.limit if self.limit is not None and grown > self.limit else -(-grown // PAGE) * PAGE
 
 
 MIB = 1 << 20
