@@ -22,12 +22,17 @@ ROWS_OUT = 1000
 #: Bytes of one Arrow batch on the way to Python, where the session keeps Spark's own bound.
 BATCH_BYTES, SPARKS_BYTES = "4m", ("64m", "67108864b", "67108864")
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that Spark's Parquet reader decodes at once, where the session keeps Spark's own number.
+READ_ROWS, SPARKS_ROWS = "16", "4096"
+ROWS_KEY = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def bounded(spark: SparkSession) -> None:
-    """Small Arrow batches, so that long texts do not fill the memory of both sides."""
+    """Small Arrow batches and few rows read at once, so that long texts do not fill the memory of both sides."""
     if spark.conf.get(BATCH_KEY, SPARKS_BYTES[0]).lower() in SPARKS_BYTES:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    if spark.conf.get(ROWS_KEY, SPARKS_ROWS) == SPARKS_ROWS:
+        spark.conf.set(ROWS_KEY, READ_ROWS)
 
 
 def tidy() -> None:
@@ -42,6 +47,7 @@ def tidy() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

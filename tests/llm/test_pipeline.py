@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage."""
 
+import math
 import random
 
 import pytest
@@ -106,3 +107,14 @@ def test_classifier_learns_from_long_documents_within_the_drivers_limit(spark, t
     finally:
         conf.set(key, before)
     assert sorted(r["doc_id"] for r in kept) == [i for i, _, q in rows if q]
+
+
+def test_long_documents_of_one_row_group_are_read_few_at_a_time(spark, tmp_path):
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    # 2.2 GB of text: more than the reader can hold of one batch
+    ten = pa.array(["word " * 200_000] * 10)
+    text = pa.chunked_array([ten] * 220)
+    pq.write_table(pa.table({"text": text}), f"{tmp_path}/documents.parquet", row_group_size=len(text), use_dictionary=False, write_statistics=False, write_batch_size=10, compression="zstd")
+    assert pq.ParquetFile(f"{tmp_path}/documents.parquet").num_row_groups == 1
+    size = 2200 * 1_000_000
+    assert quality_rules.buckets_for(table(spark, str(tmp_path), "documents")) == 1 << math.ceil(math.log2(2 * math.sqrt(size / 3)))
